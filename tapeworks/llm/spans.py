@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences (``runs`` gives the lengths) with at least ``least_words`` words is hashed;
-hashes join globally, and a sentence goes if any run that covers it is not the first occurrence of its hash. First is
+Runs of several consecutive sentences are hashed: from each sentence on, and back from each sentence, the shortest run
+of at least ``least_sentences`` sentences and ``least_words`` words. Hashes join globally, and a sentence goes if any run that covers it is not the first occurrence of its hash. First is
 the smallest (doc_id, row, position). Sentences end at a line feed or at ``.``, ``!`` or ``?`` before white space; they
 are compared lower-cased with white space folded. Hashes are 128 bits wide.
 
@@ -40,30 +40,53 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def run_hashes(text: str, runs: tuple[int, ...], least_words: int) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentences, high hash, low hash) of each run that is long enough."""
+def runs_of(sizes: list[int], least_sentences: int, least_words: int) -> set[tuple[int, int]]:
+    """(first, sentences) of the shortest run that is long enough from each start and up to each end.
+
+    Both depend on the run's own sentences alone, so a passage has the same runs wherever it stands.
+    """
+    ahead = [0]
+    for n in sizes:
+        ahead.append(ahead[-1] + n)
+    out, last = set(), len(sizes)
+    end = 0
+    for i in range(last):
+        end = max(end, i + least_sentences)
+        while end <= last and ahead[end] - ahead[i] < least_words:
+            end += 1
+        if end > last:
+            break
+        out.add((i, end - i))
+    start = last
+    for j in range(last, 0, -1):
+        start = min(start, j - least_sentences)
+        while start >= 0 and ahead[j] - ahead[start] < least_words:
+            start -= 1
+        if start < 0:
+            break
+        out.add((start, j - start))
+    return out
+
+
+def run_hashes(text: str, least_sentences: int, least_words: int) -> list[tuple[int, int, int, int]]:
+    """(first sentence, sentences, high hash, low hash) of each run."""
     words = [p.lower().split() for p in pieces(text)]
-    sizes = [0]
-    for w in words:
-        sizes.append(sizes[-1] + len(w))
-    flat = [" ".join(w) for w in words]
+    flat = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
     out = []
-    for k in runs:
-        for i in range(len(flat) - k + 1):
-            if sizes[i + k] - sizes[i] >= least_words:
-                h = xxhash.xxh3_128_intdigest("\n".join(flat[i : i + k]).encode("utf-8", "surrogatepass"))
-                out.append((i, k, h >> 64, h & (1 << 64) - 1))
+    for i, k in sorted(runs_of([len(w) for w in words], least_sentences, least_words)):
+        h = xxhash.xxh3_128_intdigest(b"\n".join(flat[i : i + k]))
+        out.append((i, k, h >> 64, h & (1 << 64) - 1))
     return out
 
 
-def spans(docs: DataFrame, uid: str, runs: tuple[int, ...], least_words: int) -> DataFrame:
+def spans(docs: DataFrame, uid: str, least_sentences: int, least_words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 who, first, size, high, low = [], [], [], [], []
                 for row, text in enumerate(part.column(2).to_pylist()):
-                    for i, k, h, l in run_hashes(text or "", runs, least_words):
+                    for i, k, h, l in run_hashes(text or "", least_sentences, least_words):
                         who.append(row)
                         first.append(i)
                         size.append(k)
@@ -80,20 +103,20 @@ def spans(docs: DataFrame, uid: str, runs: tuple[int, ...], least_words: int) ->
     return rows.mapInArrow(run, "uid long, doc_id long, at int, size int, high long, low long")
 
 
-def covered(docs: DataFrame, uid: str, runs: tuple[int, ...] = (2, 3), least_words: int = 24) -> DataFrame:
+def covered(docs: DataFrame, uid: str, least_sentences: int = 2, least_words: int = 24) -> DataFrame:
     """(uid, runs): for each row the (at, size) of its runs that are not the first of their hash."""
-    found = common.save(spans(docs, uid, runs, least_words), "spans")
+    found = common.save(spans(docs, uid, least_sentences, least_words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "at")
     repeated = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("high", "low", "first")
     later = found.join(repeated, ["high", "low"]).where((F.col("uid") != F.col("first.uid")) | (F.col("at") != F.col("first.at")))
     return later.groupBy("uid").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, runs: tuple[int, ...] = (2, 3), least_words: int = 24) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 24) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed, text without the sentences that repeat earlier ones."""
     uid = common.free_name(docs, "uid")
     own = common.with_uid(docs, uid)
-    marks = covered(own, uid, runs, least_words).withColumnRenamed("uid", uid)
+    marks = covered(own, uid, least_sentences, least_words).withColumnRenamed("uid", uid)
     joined = own.select(uid, F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks, uid, "left").select("doc_id", "text", "runs")
 
     def run(batches):

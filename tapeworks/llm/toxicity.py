@@ -2,8 +2,8 @@
 
 A linear model over word presence is fitted with numpy from confirmed toxic texts (P) and unlabelled texts (U). With
 class prior p the risk is ``p R+(P) + max(0, R-(U) - p R-(P))``: the second part estimates the risk on clean texts and
-is kept non-negative, so the model cannot explain U away. Features are chosen from P against U by a two-proportion
-z score, and every text is scored whole.
+is kept non-negative, so the model cannot explain U away. Features are words in at least ``support`` of P, chosen
+against U by a two-proportion z score, and every text is scored whole.
 
 The fit reads at most ``most_positive`` and ``most_unlabelled`` texts, picked by the hash of their id; the class prior
 comes from all labels of the training fold. Labels of the held-out fold (crc32 of the id as text, mod 4, is 2) are never read.
@@ -43,7 +43,7 @@ class Model:
         return 0.0 if z < -40 else float(1 / (1 + np.exp(-min(z, 40.0))))
 
 
-def fit(positive: list[set], unlabelled: list[set], prior: float, features: int = 1000, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(positive: list[set], unlabelled: list[set], prior: float, features: int = 1000, support: float = 0.02, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
     """Non-negative PU fit with the logistic loss and Adam; deterministic."""
     if not positive:
         return Model()
@@ -63,8 +63,9 @@ def fit(positive: list[set], unlabelled: list[set], prior: float, features: int
         pooled = (a + b + 1) / (n_p + n_u + 2)
         return (a / n_p - b / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
 
-    rated = sorted(((-z(w), w) for w, a in counts[0].items() if a >= 3))
-    chosen = [w for s, w in rated[:features] if -s >= 4]
+    least = max(5, support * n_p)
+    rated = sorted(((-z(w), w) for w, a in counts[0].items() if a >= least))
+    chosen = [w for s, w in rated[:features] if -s >= 5]
     at = {w: i for i, w in enumerate(chosen)}
     if not at:
         return Model(bias=float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
