@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
 Runs of several consecutive sentences are hashed: from each sentence on, and back from each sentence, the shortest run
-of at least ``least_sentences`` sentences and ``least_words`` words. Hashes join globally, and a sentence goes if any run that covers it is not the first occurrence of its hash. First is
+of at least ``least_sentences`` sentences and ``least_words`` words; a sentence of over twice as many words is a run by
+itself. Hashes join globally, and a sentence goes if any run that covers it is not the first occurrence of its hash. First is
 the smallest (doc_id, row, position). Sentences end at a line feed or at ``.``, ``!`` or ``?`` before white space; they
 are compared lower-cased with white space folded. Hashes are 128 bits wide.
 
@@ -65,7 +66,7 @@ def runs_of(sizes: list[int], least_sentences: int, least_words: int) -> set[tup
         if start < 0:
             break
         out.add((start, j - start))
-    return out
+    return out | {(i, 1) for i, n in enumerate(sizes) if n >= 2 * least_words + 2}
 
 
 def run_hashes(text: str, least_sentences: int, least_words: int) -> list[tuple[int, int, int, int]]:

@@ -82,13 +82,14 @@ def fit(positive: list[set], unlabelled: list[set], prior: float, features: int
     m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
     for step in range(1, rounds + 1):
-        zp, zu = xp @ w + b, xu @ w + b
+        narrow = w.astype(np.float32)
+        zp, zu = (xp @ narrow).astype(float) + b, (xu @ narrow).astype(float) + b
         p_pos, p_neg = sig(zp) - 1, sig(zp)
         u_neg = sig(zu)
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_clean = np.append(xu.T @ u_neg / n_u - prior * (xp.T @ p_neg) / n_p, u_neg.mean() - prior * p_neg.mean())
+        g_clean = np.append(xu.T @ u_neg.astype(np.float32) / n_u - prior * (xp.T @ p_neg.astype(np.float32)) / n_p, u_neg.mean() - prior * p_neg.mean())
         if clean >= 0:
-            g = np.append(prior * (xp.T @ p_pos) / n_p, prior * p_pos.mean()) + g_clean
+            g = np.append(prior * (xp.T @ p_pos.astype(np.float32)) / n_p, prior * p_pos.mean()) + g_clean
         else:
             g = -g_clean
         g[:-1] += decay * w
