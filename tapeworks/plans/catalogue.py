@@ -1,4 +1,6 @@
 """All queries of the engine by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .oracle import ORACLE
+from .queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
