@@ -109,6 +109,8 @@ def covered(docs: DataFrame, uid: str, least_sentences: int = 2, least_words: in
     found = common.save(spans(docs, uid, least_sentences, least_words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "at")
     repeated = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("high", "low", "first")
+    # Written first, so that the join deals out both sides itself and can split the rows of a very common run.
+    repeated = common.save(repeated, "repeated")
     later = found.join(repeated, ["high", "low"]).where((F.col("uid") != F.col("first.uid")) | (F.col("at") != F.col("first.at")))
     return later.groupBy("uid").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
 
