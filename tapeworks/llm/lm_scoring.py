@@ -113,7 +113,8 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1") -> Da
     """doc_id, n_tokens, ce_target_minus_background of every row; target texts are those whose label meets ``target``."""
     wanted = labels.where(target).select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    flagged = texts.join(wanted, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"))
+    # Labels grow with the texts: a sort-merge join at every size, never a broadcast.
+    flagged = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"))
     table = count(flagged).toArrow()
     grams, background, aim = (table.column(c).to_numpy() for c in ("gram", "background", "target"))
     order = np.argsort(grams)
