@@ -58,7 +58,9 @@ class WordTokenizer:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, words: list[str]) -> None:
-        cut = [self._CUT.findall(w) for w in words]
+        find = self._CUT.findall
+        # most words are letters, or letters and one closing sign
+        cut = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".,|" and w[:-1].isalpha() else find(w) for w in words]
         pieces = list({p for c in cut for p in c})
         ids = self._ids(" ".join(pieces))
         edges = np.flatnonzero(self.ends[ids]) + 1

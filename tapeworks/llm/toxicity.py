@@ -43,60 +43,50 @@ class Model:
         return 0.0 if z < -40 else float(1 / (1 + np.exp(-min(z, 40.0))))
 
 
-def fit(positive: list[set], unlabelled: list[set], prior: float, features: int = 1000, support: float = 0.02, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Non-negative PU fit with the logistic loss and Adam; deterministic."""
-    if not positive:
+def fit(side: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words: list[bytes], prior: float, features: int = 1000, support: float = 0.02, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
+    """Non-negative PU fit with the logistic loss and Adam; deterministic.
+
+    ``side`` is 1 for confirmed and 0 for unlabelled texts, ``codes`` the distinct word numbers of all texts end to end.
+    """
+    n_p, n_u = int(side.sum()), int((side == 0).sum())
+    if not n_p:
         return Model()
-    if not unlabelled:
+    if not n_u:
         return Model(bias=0.0)
-    counts: list[dict] = []
-    for side in (positive, unlabelled):
-        seen: dict[bytes, int] = {}
-        for s in side:
-            for w in s:
-                seen[w] = seen.get(w, 0) + 1
-        counts.append(seen)
-    n_p, n_u = len(positive), len(unlabelled)
-
-    def z(w: bytes) -> float:
-        a, b = counts[0][w], counts[1].get(w, 0)
-        pooled = (a + b + 1) / (n_p + n_u + 2)
-        return (a / n_p - b / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-
-    least = max(5, support * n_p)
-    rated = sorted(((-z(w), w) for w, a in counts[0].items() if a >= least))
-    chosen = [w for s, w in rated[:features] if -s >= 5]
-    at = {w: i for i, w in enumerate(chosen)}
-    if not at:
-        return Model(bias=float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-
-    def matrix(side: list[set]) -> np.ndarray:
-        x = np.zeros((len(side), len(at)), np.float32)
-        for i, s in enumerate(side):
-            for w in s & at.keys():
-                x[i, at[w]] = 1
-        return x
-
-    xp, xu = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(at)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
+    row = np.repeat(np.arange(len(side)), lengths)
+    a = np.bincount(codes[side[row] == 1], minlength=len(words))
+    b = np.bincount(codes[side[row] == 0], minlength=len(words))
+    pooled = (a + b + 1) / (n_p + n_u + 2)
+    z = (a / n_p - b / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
+    able = np.flatnonzero((a >= max(5, support * n_p)) & (z >= 5))
+    chosen = sorted(able.tolist(), key=lambda i: (-z[i], words[i]))[:features]
+    base = float(np.log(prior / (1 - prior)))
+    if not chosen:
+        return Model(bias=base)
+    column = np.full(len(words), -1)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(side), len(chosen)), np.float32)
+    has = column[codes] >= 0
+    x[row[has], column[codes[has]]] = 1
+    xp, xu = x[side == 1], x[side == 0]
+    w, bias = np.zeros(len(chosen)), base
+    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
     for step in range(1, rounds + 1):
         narrow = w.astype(np.float32)
-        zp, zu = (xp @ narrow).astype(float) + b, (xu @ narrow).astype(float) + b
-        p_pos, p_neg = sig(zp) - 1, sig(zp)
-        u_neg = sig(zu)
+        zp, zu = (xp @ narrow).astype(float) + bias, (xu @ narrow).astype(float) + bias
+        p_neg, u_neg = sig(zp), sig(zu)
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_clean = np.append(xu.T @ u_neg.astype(np.float32) / n_u - prior * (xp.T @ p_neg.astype(np.float32)) / n_p, u_neg.mean() - prior * p_neg.mean())
+        g = np.append(xu.T @ u_neg.astype(np.float32) / n_u - prior * (xp.T @ p_neg.astype(np.float32)) / n_p, u_neg.mean() - prior * p_neg.mean())
         if clean >= 0:
-            g = np.append(prior * (xp.T @ p_pos.astype(np.float32)) / n_p, prior * p_pos.mean()) + g_clean
-        else:
-            g = -g_clean
+            g = g + np.append(prior * (xp.T @ (p_neg - 1).astype(np.float32)) / n_p, prior * (p_neg - 1).mean())
+        else:  # the corrected risk fell below zero: step back up
+            g = -g
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - change[:-1], b - change[-1]
-    return Model(float(b), {x: float(w[i]) for x, i in at.items() if abs(w[i]) > 1e-3})
+        w, bias = w - change[:-1], bias - change[-1]
+    return Model(float(bias), {words[c]: float(w[i]) for i, c in enumerate(chosen) if abs(w[i]) > 1e-3})
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000) -> Model:
@@ -120,10 +110,16 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     #: At most most_positive + most_unlabelled rows of one id each.
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("p", "text")
     rows = texts.mapInArrow(run, "p int, words array<binary>").toArrow()
-    sides: list[list[set]] = [[], []]
-    for p, words in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-        sides[p].append(set(words))
-    return fit(sides[1], sides[0], prior)
+    return fit(*_coded(rows), prior)
+
+
+def _coded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Side, number of words, word numbers end to end, and the words; rows in an order of their own content."""
+    words = rows.column("words").combine_chunks()
+    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
+    coded = words.flatten().dictionary_encode()
+    lengths = np.diff(words.offsets.to_numpy()) if len(words) else np.empty(0, np.int64)
+    return rows.column("p").to_numpy(), lengths, coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
