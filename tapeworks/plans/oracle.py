@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.kernels import PROFILES
 from ..operators import catalog
 from ..schema import STATUSES
 from .queries import BLOCK
@@ -224,3 +225,15 @@ ORACLE = {
     "prometheus_lines": _q(_PROM, _RUNS, """lab AS (SELECT *, '{pipeline="' || pipeline_id || '",stream="' || stream || '"} ' AS labels FROM latest)"""),
     **{f"codec_roundtrip_{n}": _CODEC for n in ("zstd", "gzip", "xz", "bz2", "zlib", "raw")},
 }
+
+_LD = "ld AS (SELECT session_id, batch AS seq, '[' || string_agg('[' || price_e8 || ',' || qty_e8 || ',' || side || ']', ',' ORDER BY pos) || ',' || min(ts_ns) || ']' AS line FROM levels GROUP BY session_id, batch)"
+_TEXTS = {"trades": (TRADES, _LT, "lt"), "bookticker": (BOOK, _LB, "lb"), "depth": (LEVELS, _LD, "ld")}
+for _stream, (_source, _text, _name) in _TEXTS.items():
+    ORACLE[f"artifact_roundtrip_{_stream}"] = _q(f"SELECT session_id, seq, line FROM {_name}", _source, _text)
+    for _p in PROFILES:
+        ORACLE[f"entropy_roundtrip_{_p}_{_stream}"] = _q(f"SELECT session_id, count(*) AS line_count, {_sum('length(line) + 1')} AS input_bytes, true AS exact FROM {_name} GROUP BY session_id", _source, _text)
+ORACLE["inspect_trades"] = f"SELECT session_id, record_count, chunk_count, time_groups, price_groups, qty_escapes FROM ({ORACLE['trades_stats']})"
+ORACLE["inspect_bookticker"] = f"SELECT session_id, record_count, encoded_bytes, mask_nonzero, time_bytes, mask_bytes, bid_bytes FROM ({ORACLE['bookticker_stats']})"
+ORACLE["inspect_depth"] = f"SELECT session_id, batch_count, level_count, encoded_bytes, delete_count, run_mode_batches, price_bytes FROM ({ORACLE['depth_stats']})"
+ORACLE["stream_book"] = ORACLE["depth_best_before"]
+ORACLE["stream_delta"] = _q("SELECT session_id, seq, " + ", ".join(_D(c, c) for c in ("ts_ns", *_BF)) + " FROM book WINDOW w AS (PARTITION BY session_id ORDER BY seq)", BOOK)

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.sequence import chunked
-from ..operators import blocks, bookticker, catalog, depth, metrics, trades, verify
+from ..functions.kernels import PROFILES
+from ..operators import artifacts, blocks, bookticker, catalog, depth, metrics, trades, verify
 from ..schema import STATUSES
 from ..sources import derive, jsonl
+from ..streaming import book as streamed
+from ..streaming.run import replay
 
 BLOCK = 65_536
 
@@ -150,6 +153,50 @@ def _codec(name: str):
     return query
 
 
+def _artifact(stream: str):
+    """Records of a stream after a way through its transform artifact."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        return artifacts.decode_lines(artifacts.encode(_lines(s, d, stream), stream))
+
+    return query
+
+
+def _entropy(stream: str, profile: str):
+    """Per session: lines and bytes of the text that comes back from the entropy envelope, and whether it is the same."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        lines = _lines(s, d, stream)
+        back = artifacts.decode_lines(artifacts.encode(lines, stream, profile)).withColumnRenamed("line", "back")
+        both = lines.join(back, ["session_id", "seq"], "full_outer")
+        return both.groupBy("session_id").agg(F.count("back").alias("line_count"), F.sum(F.octet_length("back") + 1).cast("long").alias("input_bytes"), F.min(F.col("line").eqNullSafe(F.col("back"))).alias("exact"))
+
+    return query
+
+
+def _inspect(stream: str):
+    """Header counters of each session's artifact; they equal what the relational form counts."""
+    fields = {"trades": ["record_count", "chunk_count", "time_groups", "price_groups", "qty_escapes"], "bookticker": ["record_count", "encoded_bytes", "mask_nonzero", "time_bytes", "mask_bytes", "bid_bytes"], "depth": ["batch_count", "level_count", "encoded_bytes", "delete_count", "run_mode_batches", "price_bytes"]}[stream]
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        out = artifacts.inspect(artifacts.encode(_lines(s, d, stream), stream))
+        return out.select("session_id", *[F.get_json_object("header", f"$.{f}").cast("long").alias(f) for f in fields])
+
+    return query
+
+
+def stream_hashes(s: SparkSession, d: str) -> DataFrame:
+    return verify.hashes(_lines(s, d, "bookticker"), "bookticker")
+
+
+def stream_book(s: SparkSession, d: str) -> DataFrame:
+    return replay(_l(s, d), "batch", streamed.best_before)
+
+
+def stream_delta(s: SparkSession, d: str) -> DataFrame:
+    return replay(_b(s, d), "seq", streamed.quote_deltas)
+
+
 def _named(name: str, f) -> tuple:
     return name, f
 
@@ -186,5 +233,9 @@ QUERIES = dict([
         jsonl_strict_validation, trades_parse_roundtrip, depth_parse_levels, trades_monotonic_check, trades_qty_histogram, blocks_layout, replay_batches, replay_time_span,
         verify_records_exact, verify_records_mutated, verify_bytes, verify_missing_extra, pipeline_catalog, pipeline_availability, status_strings, run_matrix_latest, prometheus_lines,
     )],
+    ("stream_hashes", stream_hashes), ("stream_book", stream_book), ("stream_delta", stream_delta),
+    *[(f"artifact_roundtrip_{x}", _artifact(x)) for x in ("trades", "bookticker", "depth")],
+    *[(f"inspect_{x}", _inspect(x)) for x in ("trades", "bookticker", "depth")],
+    *[(f"entropy_roundtrip_{p}_{x}", _entropy(x, p)) for x in ("trades", "bookticker", "depth") for p in PROFILES],
     *[(f"codec_roundtrip_{n}", _codec(n)) for n in ("zstd", "gzip", "xz", "bz2", "zlib", "raw")],
 ])

@@ -11,6 +11,6 @@ def con(sf):
     return oracle.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if not n.startswith("entropy_") or "ac16_ctx8" in n))
 def test_query(spark, con, sf, name):
     oracle.compare(spark, con, QUERIES[name], ORACLE[name], sf)
