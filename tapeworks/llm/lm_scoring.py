@@ -79,8 +79,8 @@ def count(rows: DataFrame) -> DataFrame:
 def log_probability(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log of P(c | a b) for every trigram index, as float32. An unseen context or order counts as uniform."""
     counts = counts.astype(np.float64)
-    bi = np.bincount(grams & 0xFFFF, counts, V * V).reshape(V, V)
-    context = np.bincount(grams >> 8, counts, V * V)
+    bi = np.bincount(grams & 0xFFFF, counts, V * V).astype(np.float64).reshape(V, V)
+    context = np.bincount(grams >> 8, counts, V * V).astype(np.float64)
     uni = bi.sum(axis=0)
 
     def share(x):

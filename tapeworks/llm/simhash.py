@@ -232,7 +232,7 @@ def links(nodes: DataFrame, radius: int = 4, cell: int = 2048) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(fp, root) for every node of ``edges(a, b)``; root is the smallest node reachable. Alternating stars."""
+    """(fp, root) for every node of ``edges(a, b)`` but the roots; root is the smallest node reachable. Alternating stars."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e

@@ -8,7 +8,8 @@ against U by a two-proportion z score, and every text is scored whole.
 The fit reads at most ``most_positive`` and ``most_unlabelled`` texts, picked by the hash of their id; the class prior
 comes from all labels of the training fold. Labels of the held-out fold (crc32 of the id as text, mod 4, is 2) are never read.
 
-Defined cases: null, empty and word-less texts get the score of the bias alone; without a positive example the
+Defined cases: a text without a telling word, null and empty ones included, gets the score of the bias alone, which is
+0.25 at most, so nothing is rejected without evidence; without a positive example the
 score is 0.0 for all; repeated rows are scored each; a null doc_id is in no fold (held_out false) and never used to
 fit; an empty table gives no rows; other columns are ignored, or passed on by ``keep_clean``.
 """
@@ -52,7 +53,7 @@ def fit(side: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words: list[by
     if not n_p:
         return Model()
     if not n_u:
-        return Model(bias=0.0)
+        return Model(bias=float(np.log(0.25 / 0.75)))
     row = np.repeat(np.arange(len(side)), lengths)
     a = np.bincount(codes[side[row] == 1], minlength=len(words))
     b = np.bincount(codes[side[row] == 0], minlength=len(words))
@@ -61,8 +62,9 @@ def fit(side: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words: list[by
     able = np.flatnonzero((a >= max(5, support * n_p)) & (z >= 5))
     chosen = sorted(able.tolist(), key=lambda i: (-z[i], words[i]))[:features]
     base = float(np.log(prior / (1 - prior)))
+    highest = float(np.log(0.25 / 0.75))
     if not chosen:
-        return Model(bias=base)
+        return Model(bias=min(base, highest))
     column = np.full(len(words), -1)
     column[chosen] = np.arange(len(chosen))
     x = np.zeros((len(side), len(chosen)), np.float32)
@@ -86,7 +88,7 @@ def fit(side: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words: list[by
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - change[:-1], bias - change[-1]
-    return Model(float(bias), {words[c]: float(w[i]) for i, c in enumerate(chosen) if abs(w[i]) > 1e-3})
+    return Model(min(float(bias), highest), {words[c]: float(w[i]) for i, c in enumerate(chosen) if abs(w[i]) > 1e-3})
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000) -> Model:
