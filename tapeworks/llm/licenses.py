@@ -4,7 +4,7 @@ In DataFrame operations only. Each line of a file, and the whole text of a licen
 weighted tf * idf and compared by cosine with the templates' vectors through joins on the term. Inverse document
 frequencies come from the template set; a term in no template has the highest one and counts in the norm.
 
-Texts are scanned whole, with a lossless filter first: for each template the heaviest terms ("anchors") are chosen so
+Texts are scanned whole, with a lossless filter first: for each template terms ("anchors", uncommon and heavy ones first) are chosen so
 that the rest of its vector holds less than threshold**2 of its squared norm. By Cauchy-Schwarz a segment without any
 anchor stays under the threshold, so only texts and segments with an anchor go on.
 
@@ -47,6 +47,9 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+#: Words too common to anchor a template while other words will do.
+COMMON = set("a an and any are as be by can do for from get in into is it may met of on or out that the this to under use v with without you".split())
+
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-][\w.-]*)?$"
 _TERM = r"[^\p{L}\p{N}.+-]+"
 _DOTS = r"(^[.+-]+|[.+-]+$)"
@@ -80,7 +83,7 @@ class Templates:
             norm = math.sqrt(sum(x * x for x in weight.values()))
             self.postings += [(w, i, name, x / norm) for w, x in sorted(weight.items())]
             left = 1.0
-            for w in sorted(weight, key=lambda w: (-weight[w], w)):
+            for w in sorted(weight, key=lambda w: (w in COMMON, -weight[w], w)):
                 if left < threshold**2 - 1e-9:
                     break
                 self.anchors.add(w)
