@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ class WordTokenizer:
         self.ends = np.zeros(top, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -61,31 +62,49 @@ class WordTokenizer:
         find = self._CUT.findall
         # most words are letters, or letters and one closing sign
         cut = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".,|" and w[:-1].isalpha() else find(w) for w in words]
-        pieces = list({p for c in cut for p in c})
-        ids = self._ids(" ".join(pieces))
-        edges = np.flatnonzero(self.ends[ids]) + 1
-        if len(edges) != len(pieces):
-            raise ValueError("the tokenizer does not mark the ends of words")
-        raw, width = ids.tobytes(), ids.itemsize
-        bounds = [0, *(edges * width).tolist()]
-        part = {p: raw[bounds[i] : bounds[i + 1]] for i, p in enumerate(pieces)}
-        for w, c in zip(words, cut):
-            self.known[w] = part[c[0]] if len(c) == 1 else b"".join([part[p] for p in c])
+        known = self.known
+        fresh = [p for p in {p for c in cut for p in c} if p not in known]
+        part = {}
+        if fresh:
+            ids = self._ids(" ".join(fresh))
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) != len(fresh):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            raw, width = ids.tobytes(), ids.itemsize
+            bounds = [0, *(edges * width).tolist()]
+            part = {p: raw[bounds[i] : bounds[i + 1]] for i, p in enumerate(fresh)}
+        get = lambda p: part[p] if p in part else known[p]
+        known.update([(w, get(c[0]) if len(c) == 1 else b"".join([get(p) for p in c])) for w, c in zip(words, cut)])
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        """Texts of the plain range: split and coded in Arrow, distinct words looked up once, ids gathered in numpy."""
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = pc.list_flatten(split).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held = list(map(self.known.get, words))
+        new = [i for i, h in enumerate(held) if h is None]
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known = {"": b""}
+            self._learn([words[i] for i in new])
+            for i in new:
+                held[i] = self.known[words[i]]
+        width = np.dtype(self.kind).itemsize
+        flat = np.frombuffer(b"".join(held), self.kind)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // width
+        starts = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        n = sizes[index]
+        ends = np.cumsum(n)
+        raw = flat[np.repeat(starts[index] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = (np.concatenate([[0], ends])[split.offsets.to_numpy()] * width).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words new to the cache are learnt once for all texts."""
-        words = [None if _UNUSUAL.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
-        seen: set[str] = set()
-        for w in words:
-            seen.update(w or ())
-        new = [w for w in seen if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(seen)
-            self._learn(new)
-        known = self.known.__getitem__
-        return [self._ids(t).tobytes() if w is None else b"".join(map(known, w)) for t, w in zip(texts, words)]
+        whole = [bool(_UNUSUAL.search(t)) or any(s in t for s in self.special) for t in texts]
+        plain = iter(self._by_word([t for t, w in zip(texts, whole) if not w]))
+        return [self._ids(t).tobytes() if w else next(plain) for t, w in zip(texts, whole)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -97,6 +116,19 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def slices(texts: pa.Array, most_rows: int = 4096, most_bytes: int = 1 << 24):
+    """(start, rows) of runs of texts that are encoded together: so many rows and bytes at most, or one longer text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (held + n > most_bytes or i - start == most_rows):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if len(size):
+        yield start, len(size) - start
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, part, before, n, ids): ids as little-endian 16-bit words if they fit, else 32-bit; before = ids earlier in the partition."""
 
@@ -105,14 +137,13 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], model.kind).tobytes()
         width = len(end)
         for b in batches:
-            texts = b.column(1)
-            for start in range(0, b.num_rows, 512):
-                ids = [x + end for x in model.encode_all([t or "" for t in texts.slice(start, 512).to_pylist()])]
+            for start, rows in slices(b.column(1)):
+                ids = [x + end for x in model.encode_all([t or "" for t in b.column(1).slice(start, rows).to_pylist()])]
                 n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 ahead = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, 512), pa.array(np.full(len(ids), part, np.int64)), pa.array(ahead), pa.array(n), pa.array(ids, pa.binary())],
+                    [b.column(0).slice(start, rows), pa.array(np.full(len(ids), part, np.int64)), pa.array(ahead), pa.array(n), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "before", "n", "ids"],
                 )
 
