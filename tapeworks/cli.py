@@ -9,6 +9,7 @@ import sys
 from .operators import catalog
 from .schema import TapeError
 from .sources import artifacts as A
+from .sources import views as V
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -18,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("input", nargs="?")
     p.add_argument("output", nargs="?")
     p.add_argument("--pipeline", default="std.zstd_jsonl_blocks_v1")
+    p.add_argument("--view", choices=V.VIEWS, help="view of a transform or entropy artifact; header fields without it")
     p.add_argument("--stream", choices=["trades", "bookticker", "depth"], default="trades")
     a = p.parse_args(argv)
     try:
@@ -26,7 +28,8 @@ def main(argv: list[str] | None = None) -> int:
                 print("\t".join(row))
         elif a.command == "inspect":
             with open(a.input, "rb") as f:
-                print(json.dumps(A.inspect(f.read()), indent=2))
+                data = f.read()
+            print(V.view(data, a.view).rstrip("\n") if a.view else json.dumps(A.inspect(data), indent=2))
         elif a.command:
             with open(a.input, "rb") as f:
                 data = f.read()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import TapeError
 from ..sources import artifacts as A
+from ..sources import views as V
 from . import catalog
 
 
@@ -47,6 +48,16 @@ def inspect(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("session_id", "artifact").mapInArrow(run, "session_id string, header string")
 
 
+def views(artifacts: DataFrame, kind: str) -> DataFrame:
+    """session_id and the text of one view of every artifact: canonical-jsonl, encoded-json, encoded-binary or stats."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([V.view(x, kind) for x in b.column(1).to_pylist()], pa.string())], ["session_id", "view"])
+
+    return artifacts.select("session_id", "artifact").mapInArrow(run, "session_id string, view string")
+
+
 def discover(spark: SparkSession, session_dir: str, stream: str, pipeline_id: str = "std.zstd_jsonl_blocks_v1", root: str | None = None) -> str | None:
     """Path of the first artifact that exists, in the fixed order of places; None where there is none."""
     d = catalog.find(pipeline_id)

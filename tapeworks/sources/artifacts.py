@@ -22,6 +22,7 @@ _CHUNK = struct.Struct("<5I9q15I")
 _TRADES = struct.Struct("<I4HI7QI")
 _BOOK = struct.Struct("<IHH3Q8q6I5I")
 _DEPTH = struct.Struct("<IHH4Q4q9I6I")
+_DEPTH_V1 = struct.Struct("<IHH4Q4q14I")
 _ENVELOPE = struct.Struct("<I4HI5Q2I")
 
 
@@ -421,6 +422,57 @@ def read_depth(data: bytes) -> list[tuple]:
     return out
 
 
+def read_depth_v1(data: bytes) -> list[tuple]:
+    """Batches of the first depth format: side, price mode and delete bits of every level, one hot table for both sides.
+
+    A price is an offset from the best price of its side, or absolute; a side that has emptied keeps its last best price.
+    """
+    if len(data) < 160:
+        raise corrupt("short header")
+    h = _DEPTH_V1.unpack_from(data)
+    n, total, (ts, ps, qs), t, hot_count, sizes = h[5], h[6], h[7:10], h[10], h[11], h[12:19]
+    if h[0] != DEPTH_V1 or h[1] != 1 or hot_count > DEPTH_HOT or h[19] != 8 * hot_count or 160 + h[19] + sum(sizes) != len(data):
+        raise corrupt("header")
+    hot = struct.unpack_from(f"<{hot_count}q", data, 160)
+    ends = [160 + h[19] + sum(sizes[:i]) for i in range(8)]
+    heads, sides, modes, deletes, prices, codes, escapes = (data[a:b] for a, b in zip(ends, ends[1:]))
+    heads, prices, codes, escapes = map(K.Varints, (heads, prices, codes, escapes))
+    book, best, out, level = Book(), [0, 0], [], 0
+    try:
+        flags = list(zip(*(K.get_bits(x, total).tolist() for x in (sides, modes, deletes))))
+        for _ in range(n):
+            t += heads.next()
+            rows = []
+            for side, relative, deleted in flags[level : level + heads.next()]:
+                v = prices.next()
+                price = K.unzigzag(v) if not relative else best[1] + v if side else best[0] - v
+                qty = 0
+                if not deleted:
+                    c = codes.next()
+                    qty = hot[c] if c < hot_count else escapes.next()
+                rows.append((price, qty, side))
+            level += len(rows)
+            for price, qty, side in rows:
+                book.apply(side, price, qty)
+            best = [best[s] if book.best(s) is None else book.best(s) for s in (0, 1)]
+            out.append(([(p * ps, q * qs, s) for p, q, s in rows], t * ts))
+    except ValueError as e:
+        raise corrupt(str(e)) from e
+    if level != total or not all(x.done for x in (heads, prices, codes, escapes)):
+        raise corrupt("streams")
+    return out
+
+
+def depth_version(data: bytes) -> int:
+    if len(data) < 6:
+        raise corrupt("short header")
+    return struct.unpack_from("<IH", data)[1]
+
+
+def read_any_depth(data: bytes) -> list[tuple]:
+    return (read_depth_v1 if depth_version(data) == 1 else read_depth)(data)
+
+
 # ---- text, entropy envelope, dispatch --------------------------------------------------------------------------
 
 WRITERS = {"trades": write_trades, "bookticker": write_book, "depth": write_depth}
@@ -485,7 +537,7 @@ def corrupt_short():
 
 def stream_of(data: bytes) -> str:
     magic = struct.unpack_from("<I", data)[0] if len(data) >= 4 else 0
-    found = {TRADES: "trades", BOOK: "bookticker", DEPTH: "depth"}.get(magic)
+    found = {TRADES: "trades", BOOK: "bookticker", DEPTH: "depth", DEPTH_V1: "depth"}.get(magic)
     if found:
         return found
     if magic == ENVELOPE:
@@ -498,7 +550,7 @@ def decode(data: bytes) -> tuple[str, list[tuple]]:
     if len(data) >= 4 and struct.unpack_from("<I", data)[0] == ENVELOPE:
         data = open_envelope(data)
     stream = stream_of(data)
-    return stream, {"trades": read_trades, "bookticker": read_book, "depth": read_depth}[stream](data)
+    return stream, {"trades": read_trades, "bookticker": read_book, "depth": read_any_depth}[stream](data)
 
 
 def decompress(data: bytes) -> bytes:
@@ -527,6 +579,10 @@ def inspect(data: bytes) -> dict:
         h = _BOOK.unpack_from(data)
         names = ["time_bytes", "mask_bytes", "bid_bytes", "spread_bytes", "bid_qty_bytes", "ask_qty_bytes", "mask_nonzero", "bid_changed", "spread_changed", "bid_qty_changed", "ask_qty_changed"]
         return {"format": "bookticker", "version": h[1], "record_count": h[5], "encoded_bytes": h[4], **dict(zip(names, h[14:25]))}
+    if magic == DEPTH_V1 and len(data) >= 160:
+        h = _DEPTH_V1.unpack_from(data)
+        names = ["batch_bytes", "side_bytes", "price_mode_bytes", "delete_bytes", "price_bytes", "qty_code_bytes", "qty_escape_bytes", "hot_table_bytes", "delete_count", "qty_escape_count", "offset_price_count", "absolute_price_count"]
+        return {"format": "depth", "version": h[1], "batch_count": h[5], "level_count": h[6], "encoded_bytes": h[4], **dict(zip(names, h[12:24]))}
     if magic == DEPTH:
         h = _DEPTH.unpack_from(data)
         names = ["batch_bytes", "side_bytes", "price_mode_bytes", "delete_bytes", "price_bytes", "qty_code_bytes", "qty_escape_bytes", "delete_count", "qty_escape_count", "run_mode_batches", "fallback_batches", "offset_price_count", "absolute_price_count"]
