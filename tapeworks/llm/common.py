@@ -6,6 +6,7 @@ columns added to a pass-through frame get a name that the frame does not have (`
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -65,3 +66,18 @@ def utf8(column: pa.Array) -> list:
 def crc_fold(doc_id):
     """crc32 of the id written as text, mod 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
+def tidy(run):
+    """``run`` over Arrow batches; when a task ends, freed memory of its reused Python worker goes back to the system."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole

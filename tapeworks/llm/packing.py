@@ -33,7 +33,10 @@ _LOADED: dict = {}
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizers file with end-of-word tokens, by a cache of at most ``most`` white-space separated words.
+    """Ids of texts under a tokenizers file with end-of-word tokens, by a cache of white-space separated words.
+
+    The cache has a young and an old half; a full young half replaces the old one and words met again move on, so at
+    most ``most`` words and one slice's are held and common ones stay.
 
     Unknown words are cut as the tokenizer's own pattern cuts them, encoded together in one call and told apart by the
     tokens that end a word. Ids are little-endian, 16 bits wide if the vocabulary fits.
@@ -42,7 +45,7 @@ class WordTokenizer:
     #: Fixed value: the file's split pattern, for text inside the plain range.
     _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb5\xba\xb2\xb3\xb9\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -54,6 +57,7 @@ class WordTokenizer:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.most = most
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -62,18 +66,19 @@ class WordTokenizer:
         find = self._CUT.findall
         # most words are letters, or letters and one closing sign
         cut = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".,|" and w[:-1].isalpha() else find(w) for w in words]
-        known = self.known
-        fresh = [p for p in {p for c in cut for p in c} if p not in known]
+        known, old = self.known, self.old
+        fresh = [p for p in {p for c in cut for p in c} if p not in known and p not in old]
         part = {}
-        if fresh:
-            ids = self._ids(" ".join(fresh))
+        for at in range(0, len(fresh), 8192):  # the tokenizer's working memory is some hundred bytes a piece
+            some = fresh[at : at + 8192]
+            ids = self._ids(" ".join(some))
             edges = np.flatnonzero(self.ends[ids]) + 1
-            if len(edges) != len(fresh):
+            if len(edges) != len(some):
                 raise ValueError("the tokenizer does not mark the ends of words")
             raw, width = ids.tobytes(), ids.itemsize
             bounds = [0, *(edges * width).tolist()]
-            part = {p: raw[bounds[i] : bounds[i + 1]] for i, p in enumerate(fresh)}
-        get = lambda p: part[p] if p in part else known[p]
+            part.update((p, raw[bounds[i] : bounds[i + 1]]) for i, p in enumerate(some))
+        get = lambda p: part.get(p) or known.get(p) or old[p]
         known.update([(w, get(c[0]) if len(c) == 1 else b"".join([get(p) for p in c])) for w, c in zip(words, cut)])
 
     def _by_word(self, texts: list[str]) -> list[bytes]:
@@ -82,22 +87,30 @@ class WordTokenizer:
         coded = pc.list_flatten(split).dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         held = list(map(self.known.get, words))
-        new = [i for i, h in enumerate(held) if h is None]
+        new = []
+        for i in [i for i, h in enumerate(held) if h is None]:
+            ids = held[i] = self.old.get(words[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self.known[words[i]] = ids
         if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {"": b""}
             self._learn([words[i] for i in new])
             for i in new:
                 held[i] = self.known[words[i]]
+        if 2 * len(self.known) > self.most:
+            self.old, self.known = self.known, {"": b""}
         width = np.dtype(self.kind).itemsize
         flat = np.frombuffer(b"".join(held), self.kind)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // width
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, held), np.int32, len(held)) // np.int32(width)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         index = coded.indices.to_numpy()
         n = sizes[index]
-        ends = np.cumsum(n)
-        raw = flat[np.repeat(starts[index] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        bounds = (np.concatenate([[0], ends])[split.offsets.to_numpy()] * width).tolist()
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(starts[index] - ends + n, n)
+        at += np.arange(len(at), dtype=np.int32)
+        raw = flat[at].tobytes()
+        bounds = (np.concatenate([[0], ends])[split.offsets.to_numpy()].astype(np.int64) * width).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -116,7 +129,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def slices(texts: pa.Array, most_rows: int = 4096, most_bytes: int = 1 << 24):
+def slices(texts: pa.Array, most_rows: int = 4096, most_bytes: int = 1 << 23):
     """(start, rows) of runs of texts that are encoded together: so many rows and bytes at most, or one longer text."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = held = 0
@@ -147,7 +160,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ["doc_id", "part", "before", "n", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part long, before long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(run), "doc_id long, part long, before long, n long, ids binary")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -177,7 +190,7 @@ def pieces(placed: DataFrame, window: int) -> DataFrame:
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
-    return placed.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return placed.mapInArrow(common.tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:

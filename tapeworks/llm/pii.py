@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 ROUNDS = 10
 KINDS = ["card", "iban", "phone", "ip", "ssn", "date", "email", "secret"]
 
@@ -217,7 +219,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in done], pa.string()), *counts], ["doc_id", "text", *(f"n_{k}" for k in KINDS)])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return rows.mapInArrow(common.tidy(run), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
 def mask_texts(docs: DataFrame, key: bytes) -> DataFrame:
@@ -230,4 +232,4 @@ def mask_texts(docs: DataFrame, key: bytes) -> DataFrame:
             texts = pa.array([own.mask(t)[0] for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, uid: str, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["uid", "doc_id", "fp"])
 
     rows = docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "uid long, doc_id long, fp long")
+    return rows.mapInArrow(common.tidy(run), "uid long, doc_id long, fp long")
 
 
 def bands(radius: int) -> list[int]:
@@ -228,7 +228,7 @@ def links(nodes: DataFrame, radius: int = 4, cell: int = 2048) -> DataFrame:
         .select("k", "m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     )
     ready = cells.repartition("k", "m", "i", "j").sortWithinPartitions("k", "m", "i", "j", "fp")
-    return ready.mapInArrow(_compare(radius), "a long, b long").distinct()
+    return ready.mapInArrow(common.tidy(_compare(radius)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

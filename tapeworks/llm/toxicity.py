@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
 
     #: At most most_positive + most_unlabelled rows of one id each.
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("p", "text")
-    rows = texts.mapInArrow(run, "p int, words array<binary>").toArrow()
+    rows = texts.mapInArrow(common.tidy(run), "p int, words array<binary>").toArrow()
     return fit(*_coded(rows), prior)
 
 
@@ -132,7 +132,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = np.fromiter((model.score(t) for t in common.utf8(b.column(1))), np.float64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.3).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(run), "doc_id long, score double, predicted int")
     held = F.coalesce(common.crc_fold(F.col("doc_id")) == 2, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -146,4 +146,4 @@ def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.3) -> DataFra
             keep = [model.score(t) < reject_at for t in common.utf8(b.column(at))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
