@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import common, decontamination, packing, pii, simhash, toxicity
+from tapeworks.llm import common, decontamination, near_copies, packing, pii, toxicity
 from tapeworks.llm.queries import PII_KEY, tokenizer_path
 
 
@@ -19,8 +19,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each class of near copies: Jaccard similarity of five-word shingles 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

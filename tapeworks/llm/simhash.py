@@ -277,11 +277,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     uid = common.free_name(docs, "uid")
     found = classes(common.with_uid(docs, uid), uid, width, radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, all columns unchanged."""
-    uid = common.free_name(docs, "uid")
-    own = common.with_uid(docs, uid)
-    kept = classes(own, uid, width, radius).where("uid = keeper").select(F.col("uid").alias(uid))
-    return own.join(kept, uid, "left_semi").drop(uid)

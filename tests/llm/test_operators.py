@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tapeworks.llm import chat, decontamination, licenses, lm_scoring, packing, pii, quality, simhash, spans, toxicity
+from tapeworks.llm import chat, decontamination, licenses, lm_scoring, near_copies, packing, pii, quality, simhash, spans, toxicity
 from tapeworks.llm.queries import ORACLE, PII_KEY, QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, fp int, part string, n_words string, h string"
@@ -318,3 +318,33 @@ def test_spans_brute(spark, sf):
         want[d] = "".join(p for i, p in enumerate(spans.pieces(texts[d])) if i not in drop)
     assert {r.doc_id: r.text for r in QUERIES["op10_substring_dedup"](spark, sf).collect()} == want
     assert all("".join(spans.pieces(t)) == t for t in texts.values())
+
+
+def test_near_copies(spark, sf):
+    """Every pair of five-word Jaccard similarity 0.8 or more is joined, and no other; cells split or not."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(12)]
+    texts = {i: " ".join(b) for i, b in enumerate(base)}
+    for i, b in enumerate(base):
+        for e in range(1, 5):
+            texts[100 * e + i] = " ".join(f"edit{e}" if j in {40 * x + 7 for x in range(e)} else w for j, w in enumerate(b))
+    texts |= {10_000 + d: t for d, t in sorted(docs_of(sf).items())}
+
+    def shingled(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    order = sorted(texts)
+    sets = [shingled(texts[d]) for d in order]
+    root, links = list(range(len(order))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                links += a != b
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    for how in ({}, {"cell": 2}, {"cell_shingles": 300}):
+        kept = {r.doc_id for r in near_copies.keep_one(docs, **how).collect()}
+        assert links > 40 and kept == {order[r] for r in set(root)}, how
