@@ -60,7 +60,8 @@ def matches(docs: DataFrame, uid: str, benchmark: DataFrame, window: int = 20, s
     found = None
     for block in range(blocks):
         part = items.where(F.pmod(F.col("item"), F.lit(blocks)) == block)
-        keys = positions(part.withColumnRenamed("b", "h"), masks).groupBy("mask", "seed", "item").agg(F.min("at").alias("j"))
+        # Every position of a seed that an item repeats: each is on a diagonal of its own.
+        keys = positions(part.withColumnRenamed("b", "h"), masks).select("mask", "seed", "item", F.col("at").alias("j"))
         #: Both sides hold at most block_seeds seeds' worth of one block of items.
         probe = positions(texts, masks).join(F.broadcast(keys), ["mask", "seed"]).join(F.broadcast(part), "item")
         hits = _verified(probe, window, share, masks)
@@ -73,6 +74,7 @@ def matches(docs: DataFrame, uid: str, benchmark: DataFrame, window: int = 20, s
 def _verified(probe: DataFrame, window: int, share: float, masks) -> DataFrame:
     h, b, at, j = F.col("h"), F.col("b"), F.col("at"), F.col("j")
     # A run of hits on one diagonal is verified once: where the seed one word earlier agrees too, that hit stands for it.
+    # It is in the probe, which has every position of the text and of the item.
     goes_on = F.lit(False)
     for i, mask in enumerate(masks):
         same = F.lit(True)

@@ -348,3 +348,15 @@ def test_near_copies(spark, sf):
     for how in ({}, {"cell": 2}, {"cell_shingles": 300}):
         kept = {r.doc_id for r in near_copies.keep_one(docs, **how).collect()}
         assert links > 40 and kept == {order[r] for r in set(root)}, how
+
+
+def test_items_that_repeat_themselves(spark):
+    """An overlap that starts at the second occurrence of a passage inside the item."""
+    p, q, r = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 10), ("q", 12), ("r", 20)))
+    bench = spark.createDataFrame([(5, " ".join(p + q + p + r))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " + " ".join(p + r)), (2, " ".join(r)), (3, " ".join(p)), (4, " ".join(p + q))], "doc_id long, text string")
+    for most in (2_000_000, 10):
+        out = decontamination.contaminated(docs, bench, block_seeds=most).collect()
+        got = {x.doc_id: (x.matched_words, x.window_matched, x.doc_start) for x in out}
+        assert got == {1: (30, 20, 2 - 22), 2: (20, 20, -32), 4: (22, 20, 0)}
+    assert {x.doc_id for x in decontamination.keep_unseen(docs, bench).collect()} == {3}
