@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Runs of several consecutive sentences are hashed: from each sentence on, and back from each sentence, the shortest run
-of at least ``least_sentences`` sentences and ``least_words`` words; a sentence of over twice as many words is a run by
-itself. Hashes join globally, and a sentence goes if any run that covers it is not the first occurrence of its hash. First is
+Every run of ``least_sentences`` consecutive sentences is hashed, whatever its words; a longer run that repeats is
+covered by the runs inside it. A sentence of over twice ``least_words`` words is a run by itself. Hashes join globally,
+and a sentence goes if any run that covers it is not the first occurrence of its hash. First is
 the smallest (doc_id, row, position). Sentences end at a line feed or at ``.``, ``!`` or ``?`` before white space; they
 are compared lower-cased with white space folded. Hashes are 128 bits wide.
 
@@ -42,31 +42,12 @@ def pieces(text: str) -> list[str]:
 
 
 def runs_of(sizes: list[int], least_sentences: int, least_words: int) -> set[tuple[int, int]]:
-    """(first, sentences) of the shortest run that is long enough from each start and up to each end.
+    """(first, sentences) of every run of ``least_sentences`` sentences, which cover all longer runs, and of each long sentence.
 
     Both depend on the run's own sentences alone, so a passage has the same runs wherever it stands.
     """
-    ahead = [0]
-    for n in sizes:
-        ahead.append(ahead[-1] + n)
-    out, last = set(), len(sizes)
-    end = 0
-    for i in range(last):
-        end = max(end, i + least_sentences)
-        while end <= last and ahead[end] - ahead[i] < least_words:
-            end += 1
-        if end > last:
-            break
-        out.add((i, end - i))
-    start = last
-    for j in range(last, 0, -1):
-        start = min(start, j - least_sentences)
-        while start >= 0 and ahead[j] - ahead[start] < least_words:
-            start -= 1
-        if start < 0:
-            break
-        out.add((start, j - start))
-    return out | {(i, 1) for i, n in enumerate(sizes) if n >= 2 * least_words + 2}
+    runs = {(i, least_sentences) for i in range(len(sizes) - least_sentences + 1)}
+    return runs | {(i, 1) for i, n in enumerate(sizes) if n >= 2 * least_words + 2}
 
 
 def run_hashes(text: str, least_sentences: int, least_words: int) -> list[tuple[int, int, int, int]]:

@@ -372,3 +372,15 @@ def test_pii_alone_in_a_text():
             text, n = m.mask(v)
             assert text != v and n[pii.KINDS.index(kind)] == 1 == sum(n), (kind, v, text, n)
             assert m.mask(f"{v} and 77")[0] == f"{text} and 77", (kind, v)
+
+
+def test_spans_cut_and_glued(spark):
+    """Short whole sentences of a repeated passage go, also where its ends are cut or glued to other text."""
+    inner = "The gate was shut. Nobody had the key."
+    passage = "On the third day of the long march the company came down to the river and found it in flood beyond the willows. " + inner + " So they sat by the water until the moon stood over the hills and the ferryman called from the far bank to them."
+    cut, glued = passage[30:-40], "Prologue without an end " + passage[0].lower() + passage[1:-1] + " and more of it."
+    rows = [(1, passage), (2, "Elsewhere. " + cut), (3, glued), (4, inner + " Then it rained."), (5, "The gate was shut. It rained.")]
+    out = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].n_removed for i in range(1, 6)] == [0, 2, 2, 2, 0]
+    assert out[1].text == passage and out[4].text == "Then it rained."
+    assert all("key" not in out[i].text for i in (2, 3))
