@@ -11,17 +11,20 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; where none is set a temporary one in local mode (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tapeworks-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -49,9 +52,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Only projections and filters over a table, which every run reads in the same partitions and order."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.children().isEmpty()
+
+
 def with_uid(df: DataFrame, name: str) -> DataFrame:
-    """A row id that any re-run of the same scan gives again, so repeated rows and null ids stay apart."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A row id that any re-run gives again, so repeated rows and null ids stay apart; what is no scan is written first."""
+    return (df if _is_scan(df) else save(df, "rows")).withColumn(name, F.monotonically_increasing_id())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +74,19 @@ def utf8(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(texts: pa.Array, most_rows: int = 4096, most_bytes: int = 1 << 23):
+    """(start, rows) of runs of texts that are handled together: so many rows and bytes at most, or one longer text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (held + n > most_bytes or i - start == most_rows):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if len(size):
+        yield start, len(size) - start
+
+
 def crc_fold(doc_id):
     """crc32 of the id written as text, mod 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -1,12 +1,15 @@
-"""Cross-entropy difference of two matched n-gram models.
+"""Cross-entropy difference of two matched word bigram models.
 
-Tokens are bytes of the lower-cased UTF-8 text with a start mark, so target and background share one closed
-vocabulary of 256 bytes and no text is out of vocabulary. Both models are trigram models with the same interpolation
-weights; the target model counts the target texts, the background model all texts. A text's score is the mean over
-its tokens of the target loss minus the background loss, in nats: lower is closer to the target.
+Tokens are the white-space separated words of the lower-cased text. Target and background share one vocabulary: the
+``most_words`` commonest words of all texts, with one more token for every other word and a start mark ahead of each
+text, so no text is out of vocabulary. The target model counts the target texts, the background model all texts, and
+both use the same smoothing: a bigram share with a Dirichlet prior on the smoothed unigram share. A text's score is the
+mean over its tokens of the target loss minus the background loss, in nats: lower is closer to the target.
 
-Counts cover every text: each task counts its own partition, and the partial counts are added by trigram. There are at
-most 2**24 trigrams, which bounds the model whatever the input (at most 64 MB as 32-bit floats per worker).
+The vocabulary and its unigram counts are bounded by ``most_words``; the bigram table grows with the texts and is
+never gathered. Texts are held as slices of token numbers. Each slice counts its own bigrams and sends each distinct
+one, once, to the bucket of its hash; the bucket adds up the counts of all slices and answers every slice that asked.
+A bigram found everywhere thus has one row for each slice, not for each text, and a bucket holds a bounded number of rows.
 
 Defined cases: null and empty texts have no tokens and score 0.0; without any target text the target model is the
 uniform one; repeated rows count each time; a null doc_id has no label, so it is background only; an empty table gives
@@ -15,121 +18,229 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-V = 256
-#: Weights of trigram, bigram, unigram and uniform estimates.
-WEIGHTS = (0.6, 0.25, 0.1, 0.05)
-#: Start mark: two zero bytes ahead of each text, so that every token has a context.
-START = b"\0\0"
+#: Token numbers are 16 bits wide: 0 is any other word, the last is the start mark.
+OTHER, START, V = 0, 0xFFFF, 1 << 16
+#: Weight of the prior, in tokens.
+PRIOR = 20.0
+#: Rows of one slice at most, as a power of two.
+ROWS_BITS = 12
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram index of every token of the texts, and the number of tokens of each text."""
-    parts = [(t or b"") for t in texts]
-    lengths = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    flat = np.frombuffer(b"".join(START + p for p in parts), np.uint8).astype(np.uint32)
-    if len(flat) < 3:
-        return np.empty(0, np.uint32), lengths
-    index = (flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:]
-    keep = np.ones(len(index), bool)
-    ends = np.cumsum(lengths + 2)[:-1]
-    keep[ends - 2] = False
-    keep[ends - 1] = False
-    return index[keep], lengths
+def coded(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of the texts end to end, dictionary coded, and the number of words of each text."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = split.flatten()
+    some = pc.not_equal(flat, "")
+    ahead = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    edges = split.offsets.to_numpy()
+    return flat.filter(some).dictionary_encode(), np.diff(ahead[edges - edges[0]])
 
 
-def lowered(column) -> list:
-    """UTF-8 bytes of the lower-cased texts, None for null."""
-    import pyarrow.compute as pc
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of ``texts(text)``, every word of every text."""
 
-    return common.utf8(pc.utf8_lower(column))
+    def run(batches):
+        for b in batches:
+            for start, rows in common.slices(b.column(0)):
+                counted = pc.value_counts(coded(b.column(0).slice(start, rows))[0])
+                values, n = counted.field("values"), counted.field("counts")
+                values = values.dictionary.take(values.indices) if isinstance(values, pa.DictionaryArray) else values
+                yield pa.RecordBatch.from_arrays([values.cast(pa.string()), n.cast(pa.int64())], ["word", "n"])
+
+    return texts.mapInArrow(common.tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+_NUMBERS: dict = {}
 
 
-def count(rows: DataFrame) -> DataFrame:
-    """(gram, background, target) of ``rows(text, is_target)``; a row per distinct trigram."""
+def token_slices(rows: DataFrame, words) -> DataFrame:
+    """(sid, first, ids, sizes, tokens) of ``rows(uid, doc_id, text)``: runs of rows as token numbers end to end."""
+
+    def run(batches):
+        vocabulary = words.value
+        for b in batches:
+            sid = b.column(0).to_numpy() >> ROWS_BITS
+            edges = [0, *(np.flatnonzero(np.diff(sid)) + 1).tolist(), b.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                for at, n in common.slices(b.column(2).slice(low, high - low)):
+                    part = b.slice(low + at, n)
+                    flat, sizes = coded(part.column(2))
+                    number = pc.add(pc.fill_null(pc.index_in(flat.dictionary, value_set=vocabulary), -1), 1).to_numpy(zero_copy_only=False)
+                    tokens = number.astype("<u2")[flat.indices.to_numpy()] if len(flat) else np.empty(0, "<u2")
+                    ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(1))
+                    uid = part.column(0)[0].as_py()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([uid >> ROWS_BITS]), pa.array([uid & (1 << ROWS_BITS) - 1]), ids, pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([tokens.tobytes()], pa.binary())],
+                        ["sid", "first", "ids", "sizes", "tokens"],
+                    )
+
+    return rows.mapInArrow(common.tidy(run), "sid long, first long, ids array<long>, sizes binary, tokens binary")
+
+
+class Slice:
+    """One slice: bigram keys (context << 16 | token) and whether each is in a target text."""
+
+    def __init__(self, first: int, sizes: bytes, tokens: bytes, targets: list | None):
+        self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+        self.tokens = np.frombuffer(tokens, "<u2")
+        ends = np.cumsum(self.sizes)
+        self.context = np.concatenate([[START], self.tokens[:-1]]).astype(np.uint32) if len(self.tokens) else np.empty(0, np.uint32)
+        self.context[(ends - self.sizes)[self.sizes > 0]] = START
+        self.keys = self.context << np.uint32(16) | self.tokens
+        aim = np.zeros(len(self.sizes), bool)
+        place = np.array(targets or [], np.int64) - first
+        aim[place[(place >= 0) & (place < len(aim))]] = True
+        self.target = np.repeat(aim, self.sizes)
+
+    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order of bucket and key, the bucket of each, and the place of each token's key."""
+        distinct, place = np.unique(self.keys, return_inverse=True)
+        bucket = ((distinct.astype(np.uint64) * _ODD >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return distinct[order], bucket[order], rank[place]
+
+
+def _slices_of(batch, names: str):
+    """(row number, Slice) of each row."""
+    columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names.split()]
+    for row, (first, sizes, tokens, targets) in enumerate(zip(*columns)):
+        yield row, Slice(first, sizes, tokens, targets)
+
+
+_OF = "first sizes tokens targets"
+
+
+def unigrams(held: DataFrame) -> np.ndarray:
+    """Rows of counts by token number: background and target as token, background and target as context."""
+
+    def run(batches):
+        total = np.zeros((4, V), np.int64)
+        for b in batches:
+            for _, s in _slices_of(b, _OF):
+                for i, x in enumerate((s.tokens, s.tokens[s.target], s.context, s.context[s.target])):
+                    total[i] += np.bincount(x, minlength=V)
+        some = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(t[some]) for t in total]], ["token", "b", "t", "cb", "ct"])
+
+    rows = held.select(*_OF.split()).mapInArrow(common.tidy(run), "token long, b long, t long, cb long, ct long")
+    table = rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("b", "t", "cb", "ct")]).toArrow()
+    out = np.zeros((4, V), np.int64)
+    for i, c in enumerate(("b", "t", "cb", "ct")):
+        out[i][table.column("token").to_numpy()] = table.column(c).to_numpy()
+    return out
+
+
+def losses(keys: np.ndarray, pairs: np.ndarray, tokens: np.ndarray, contexts: np.ndarray, size: int) -> np.ndarray:
+    """Loss in nats of each bigram key under one model. ``size`` is the number of tokens a text can have."""
+    total = tokens.sum()
+    word, context = keys & 0xFFFF, keys >> 16
+    lower = (tokens[word] + 1.0) / (total + size)
+    if not total:
+        return np.full(len(keys), math.log(size))
+    return -np.log((pairs + PRIOR * lower) / (contexts[context] + PRIOR))
+
+
+def asks(held: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, sid, first, keys, b, t): the counts of a slice's distinct bigrams, by bucket."""
+
+    def run(batches):
+        for b in batches:
+            for row, s in _slices_of(b, _OF):
+                keys, bucket, place = s.asked(buckets)
+                if not len(keys):
+                    continue
+                n = [np.bincount(p, minlength=len(keys)).astype("<u4") for p in (place, place[s.target])]
+                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+                cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())
+                same = pa.array(np.full(len(edges) - 1, row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[edges[:-1]]), b.column(0).take(same), b.column(1).take(same), cut(keys.astype("<u4")), cut(n[0]), cut(n[1])], ["bucket", "sid", "first", "keys", "b", "t"]
+                )
+
+    return held.select("sid", *_OF.split()).mapInArrow(common.tidy(run), "bucket long, sid long, first long, keys binary, b binary, t binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(bucket, sid, first, b, t): for each slice's keys the counts over all slices. Holds one bucket at a time."""
+
+    def add(held):
+        sizes = [len(r[3]) // 4 for r in held]
+        distinct, place = np.unique(np.frombuffer(b"".join(r[3] for r in held), "<u4"), return_inverse=True)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        out = []
+        for c in (4, 5):
+            # sums below 2**53 are exact
+            total = np.bincount(place, np.frombuffer(b"".join(r[c] for r in held), "<u4"), len(distinct))
+            got = total[place].astype("<u8")
+            out.append(pa.array([got[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()))
+        head = [pa.array([r[i] for r in held], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*head, *out], ["bucket", "sid", "first", "b", "t"])
 
     def run(batches):
-        total = np.zeros((2, V**3), np.uint32)
+        held: list = []
         for b in batches:
-            target = np.array(b.column(1).to_pylist(), bool)
-            for start in range(0, b.num_rows, 2000):
-                texts = lowered(b.column(0).slice(start, 2000))
-                flags = target[start : start + 2000]
-                for side, chosen in ((0, texts), (1, [t for t, f in zip(texts, flags) if f])):
-                    index = trigrams(chosen)[0]
-                    if len(index):
-                        index.sort()
-                        edges = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-                        total[side][index[edges]] += np.diff(np.append(edges, len(index))).astype(np.uint32)
-        grams = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int32)), pa.array(total[0][grams].astype(np.int64)), pa.array(total[1][grams].astype(np.int64))], ["gram", "background", "target"])
-
-    partial = rows.mapInArrow(run, "gram int, background long, target long")
-    return partial.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def log_probability(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Natural log of P(c | a b) for every trigram index, as float32. An unseen context or order counts as uniform."""
-    counts = counts.astype(np.float64)
-    bi = np.bincount(grams & 0xFFFF, counts, V * V).astype(np.float64).reshape(V, V)
-    context = np.bincount(grams >> 8, counts, V * V).astype(np.float64)
-    uni = bi.sum(axis=0)
-
-    def share(x):
-        whole = x.sum(axis=-1, keepdims=True)
-        return np.divide(x, whole, out=np.full_like(x, 1 / V), where=whole > 0)
-
-    lower = WEIGHTS[1] * share(bi) + WEIGHTS[2] * share(uni)[None, :] + WEIGHTS[3] / V
-    p = np.tile(lower.astype(np.float32).reshape(-1), V)
-    p.reshape(V * V, V)[context == 0] += np.float32(WEIGHTS[0] / V)
-    seen = counts > 0
-    at = grams[seen]
-    p[at] += (WEIGHTS[0] * counts[seen] / context[at >> 8]).astype(np.float32)
-    return np.log(p, out=p)
-
-
-_TABLE: dict = {}
-
-
-def difference_table(key, grams, background, target) -> np.ndarray:
-    """Target loss minus background loss of each trigram; built once per worker process."""
-    if key not in _TABLE:
-        _TABLE.clear()
-        table = log_probability(grams, background)
-        table -= log_probability(grams, target)
-        _TABLE[key] = table
-    return _TABLE[key]
-
-
-def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1") -> DataFrame:
-    """doc_id, n_tokens, ce_target_minus_background of every row; target texts are those whose label meets ``target``."""
-    wanted = labels.where(target).select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # Labels grow with the texts: a sort-merge join at every size, never a broadcast.
-    flagged = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"))
-    table = count(flagged).toArrow()
-    grams, background, aim = (table.column(c).to_numpy() for c in ("gram", "background", "target"))
-    order = np.argsort(grams)
-    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, grams[order], background[order], aim[order]))
+            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if held and r[0] != held[0][0]:
+                    yield from add(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from add(held)
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "sid", "first").mapInArrow(common.tidy(run), "bucket long, sid long, first long, b binary, t binary")
+
+
+def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", most_words: int = 65_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background, ce_target_minus_background of every row; target texts are those whose label meets ``target``."""
+    spark = docs.sparkSession
+    uid = common.free_name(docs, "uid")
+    own = common.with_uid(docs, uid).select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    top = word_counts(own.select("text")).orderBy(F.desc("n"), "word").limit(min(most_words, START - 1)).toArrow()
+    #: At most most_words words.
+    words = spark.sparkContext.broadcast(top.column("word").combine_chunks().cast(pa.large_string()))
+
+    wanted = labels.where(target).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    in_slice = own.select("uid", "doc_id").join(wanted, "doc_id").groupBy(F.shiftright("uid", ROWS_BITS).alias("sid"))
+    targets = in_slice.agg(F.collect_list(F.col("uid").bitwiseAND(F.lit((1 << ROWS_BITS) - 1))).alias("targets"))
+    held = common.save(token_slices(own, words).join(targets, "sid", "left"), "slices")
+
+    counts = unigrams(held)
+    size = top.num_rows + 1
+    model = spark.sparkContext.broadcast(counts)
+    buckets = max(1, math.ceil(int(counts[0].sum()) / bucket_tokens))
+    replies = answers(asks(held, buckets)).groupBy("sid", "first").agg(F.sort_array(F.collect_list(F.struct("bucket", "b", "t"))).alias("got"))
 
     def run(batches):
-        loss = difference_table(*model.value)
+        one = model.value
         for b in batches:
-            for start in range(0, b.num_rows, 2000):
-                ids, part = b.column(0).slice(start, 2000), b.column(1).slice(start, 2000)
-                index, n = trigrams(lowered(part))
-                ahead = np.concatenate([[0.0], np.cumsum(loss[index], dtype=np.float64)])
-                ends = np.cumsum(n)
-                total = ahead[ends] - ahead[ends - n]
-                mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(mean)], ["doc_id", "n_tokens", "ce_target_minus_background"])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, ce_target_minus_background double")
+            got = b.column(b.schema.get_field_index("got")).to_pylist()
+            ids = b.column(b.schema.get_field_index("ids"))
+            for row, s in _slices_of(b, _OF):
+                keys, _, place = s.asked(buckets)
+                both = [np.frombuffer(b"".join(g[c] for g in got[row] or []), "<u8").astype(np.float64) for c in ("b", "t")]
+                ends = np.cumsum(s.sizes)
+                mean = []
+                for i in (0, 1):
+                    loss = losses(keys, both[i], one[i], one[2 + i], size)
+                    ahead = np.concatenate([[0.0], np.cumsum(loss[place])])
+                    mean.append(np.divide(ahead[ends] - ahead[ends - s.sizes], s.sizes, out=np.zeros(len(ends)), where=s.sizes > 0))
+                yield pa.RecordBatch.from_arrays(
+                    [ids[row].values if ids[row].values is not None else pa.array([], pa.int64()), pa.array(s.sizes), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])],
+                    ["doc_id", "n_tokens", "loss_target", "loss_background", "ce_target_minus_background"],
+                )
+
+    joined = held.join(replies, ["sid", "first"], "left").select("ids", *_OF.split(), "got")
+    return joined.mapInArrow(common.tidy(run), "doc_id long, n_tokens long, loss_target double, loss_background double, ce_target_minus_background double")

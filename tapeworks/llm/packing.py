@@ -129,19 +129,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def slices(texts: pa.Array, most_rows: int = 4096, most_bytes: int = 1 << 23):
-    """(start, rows) of runs of texts that are encoded together: so many rows and bytes at most, or one longer text."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start = held = 0
-    for i, n in enumerate(size.tolist()):
-        if i > start and (held + n > most_bytes or i - start == most_rows):
-            yield start, i - start
-            start, held = i, 0
-        held += n
-    if len(size):
-        yield start, len(size) - start
-
-
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, part, before, n, ids): ids as little-endian 16-bit words if they fit, else 32-bit; before = ids earlier in the partition."""
 
@@ -150,7 +137,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], model.kind).tobytes()
         width = len(end)
         for b in batches:
-            for start, rows in slices(b.column(1)):
+            for start, rows in common.slices(b.column(1)):
                 ids = [x + end for x in model.encode_all([t or "" for t in b.column(1).slice(start, rows).to_pylist()])]
                 n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 ahead = before + np.cumsum(n) - n

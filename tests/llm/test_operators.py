@@ -107,36 +107,36 @@ def test_stages_keep_columns(spark, odd, labels, bench, tmp_path):
         assert stage(spark, blank, str(tmp_path)).count() == 0, name
 
 
-def test_language_model(spark, sf):
-    """Against dictionaries of counts."""
+@pytest.mark.parametrize("most_words, bucket_tokens", [(65_000, 2_000_000), (50, 700)])
+def test_language_model(spark, sf, most_words, bucket_tokens):
+    """Against dictionaries of counts; with a cut vocabulary and many buckets too."""
     texts = docs_of(sf)
     good = {d for d, q in duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall() if q == 1}
     chosen = sorted(texts)[:60]
-    counts = [collections.Counter(), collections.Counter()]
-    grams = {}
-    for d in chosen:
-        raw = b"\0\0" + texts[d].lower().encode()
-        grams[d] = [raw[i : i + 3] for i in range(len(raw) - 2)]
-        counts[0].update(grams[d])
-        if d in good:
-            counts[1].update(grams[d])
-
-    def model(c):
-        ctx, bi, mid, uni = (collections.Counter() for _ in range(4))
-        for g, n in c.items():
-            ctx[g[:2]] += n
-            bi[g[1:]] += n
-            mid[g[1]] += n
-            uni[g[2]] += n
+    words = {d: texts[d].lower().split() for d in chosen}
+    often = collections.Counter(w for ws in words.values() for w in ws)
+    known = set(sorted(often, key=lambda w: (-often[w], w.encode()))[:most_words])
+    size = len(known) + 1
+    pairs = {d: list(zip([None] + ws, ws)) for d, ws in ((d, [w if w in known else "" for w in ws]) for d, ws in words.items())}
+
+    def model(ds):
+        both, ctx, uni = (collections.Counter() for _ in range(3))
+        for d in ds:
+            both.update(pairs[d])
+            ctx.update(a for a, _ in pairs[d])
+            uni.update(b for _, b in pairs[d])
         total = sum(uni.values())
-        return lambda g: 0.6 * (c[g] / ctx[g[:2]] if ctx[g[:2]] else 1 / 256) + 0.25 * (bi[g[1:]] / mid[g[1]] if mid[g[1]] else 1 / 256) + 0.1 * (uni[g[2]] / total) + 0.05 / 256
+        return lambda a, b: (both[a, b] + 20 * (uni[b] + 1) / (total + size)) / (ctx[a] + 20)
 
-    back, target = model(counts[0]), model(counts[1])
+    back, target = model(chosen), model([d for d in chosen if d in good])
     docs = spark.createDataFrame([(d, texts[d]) for d in chosen], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    rows = lm_scoring.score(docs, spark.read.parquet(f"{sf}/labels.parquet"), most_words=most_words, bucket_tokens=bucket_tokens).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 60 and len(good & set(chosen)) > 3
     for d in chosen:
-        want = float(np.mean([np.log(back(g)) - np.log(target(g)) for g in grams[d]]))
-        assert got[d].n_tokens == len(grams[d]) and abs(got[d].ce_target_minus_background - want) < 1e-4
+        t, b = (float(-np.mean([np.log(m(*p)) for p in pairs[d]])) for m in (target, back))
+        assert got[d].n_tokens == len(pairs[d])
+        assert abs(got[d].loss_target - t) < 1e-9 and abs(got[d].loss_background - b) < 1e-9 and abs(got[d].ce_target_minus_background - (t - b)) < 1e-9
 
 
 def repeat_words(words):
