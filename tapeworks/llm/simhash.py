@@ -92,7 +92,7 @@ def planes(values: np.ndarray) -> np.ndarray:
     return padded.view(np.uint64)
 
 
-def within(difference, shape: tuple, radius: int, valid: np.ndarray) -> np.ndarray:
+def within(difference, shape: tuple, radius: int, valid: np.ndarray, bits: int = 64) -> np.ndarray:
     """Lanes whose distance is at most radius. ``difference(k)`` gives plane k of the xor of two sides.
 
     Carry-save counters: bit j of all distances lives in ``count[j]``; a carry out of the top bit marks a lane as over.
@@ -101,12 +101,12 @@ def within(difference, shape: tuple, radius: int, valid: np.ndarray) -> np.ndarr
     width = max(1, (radius + 1).bit_length())
     count = [np.zeros(shape, np.uint64) for _ in range(width)]
     over = np.zeros(shape, np.uint64)
-    for k in range(64):
+    for k in range(bits):
         carry = difference(k)
         for j in range(width):
             count[j], carry = count[j] ^ carry, count[j] & carry
         over |= carry
-        if k % 8 == 7:
+        if k % 8 == 7 and k >= radius:
             above = over | _exceeds(count, radius)
             if not np.any(valid & ~above):
                 return np.zeros(shape, np.uint64)
@@ -126,11 +126,13 @@ def _exceeds(count: list, radius: int):
     return greater
 
 
-def _lanes(mask: np.ndarray, n: int) -> np.ndarray:
+def lane_flags(mask: np.ndarray, n: int) -> np.ndarray:
+    """One flag for each of the first n lanes."""
     return np.unpackbits(mask.view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def _pack(flags: np.ndarray) -> np.ndarray:
+def lane_mask(flags: np.ndarray) -> np.ndarray:
+    """Words with one lane for each flag."""
     n = len(flags)
     out = np.zeros(-(-n // 64) * 8, np.uint8)
     packed = np.packbits(flags, bitorder="little")
@@ -148,8 +150,8 @@ def forest_of_small(values: np.ndarray, group: np.ndarray, radius: int) -> list[
         if not len(here):
             return links
         left, right = planes(values[here]), planes(values[here + d])
-        valid = _pack(np.ones(len(here), bool))
-        near = _lanes(within(lambda k: left[k] ^ right[k], valid.shape, radius, valid), len(here))
+        valid = lane_mask(np.ones(len(here), bool))
+        near = lane_flags(within(lambda k: left[k] ^ right[k], valid.shape, radius, valid), len(here))
         links += [(int(values[i]), int(values[i + d])) for i in here[near]]
         d += 1
 
@@ -158,13 +160,13 @@ def forest_of_large(values: np.ndarray, radius: int, block: int = 64) -> list[tu
     """Spanning forest of one large group: blocks of queries against the vertical planes of the group."""
     n = len(values)
     side = planes(values)
-    valid = np.broadcast_to(_pack(np.ones(n, bool)), (block, side.shape[1]))
+    valid = np.broadcast_to(lane_mask(np.ones(n, bool)), (block, side.shape[1]))
     label = np.arange(n)
     links = []
     for start in range(0, n, block):
         q = values[start : start + block]
         bit = [np.where(q >> np.uint64(k) & np.uint64(1), ~np.uint64(0), np.uint64(0))[:, None] for k in range(64)]
-        near = _lanes(within(lambda k: side[k][None, :] ^ bit[k], (len(q), side.shape[1]), radius, valid[: len(q)]), n)
+        near = lane_flags(within(lambda k: side[k][None, :] ^ bit[k], (len(q), side.shape[1]), radius, valid[: len(q)]), n)
         for row in range(len(q)):
             i = start + row
             found = np.unique(label[near[row]])
@@ -267,7 +269,9 @@ def classes(docs: DataFrame, uid: str, width: int = 4, radius: int = 4, cell: in
     nodes = common.cut(nodes)
     roots = components(links(nodes.select("fp"), radius, cell))
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tops = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    placed = common.save(placed, "placed")
+    # Written first, so that the join deals out both sides itself and can split the rows of a giant component.
+    tops = common.save(placed.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first")), "tops")
     named = placed.select("fp", "root").join(tops, "root").select("fp", "component_id", F.col("first.uid").alias("keeper"))
     return marked.join(named, "fp").select("uid", "doc_id", "fp", "component_id", "keeper")
 
