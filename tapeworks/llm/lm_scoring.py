@@ -1,8 +1,8 @@
 """Cross-entropy difference of two matched word bigram models.
 
 Tokens are the white-space separated words of the lower-cased text. Target and background share one vocabulary: the
-``most_words`` commonest words of all texts, with one more token for every other word and a start mark ahead of each
-text, so no text is out of vocabulary. The target model counts the target texts, the background model all texts, and
+commonest words of all texts, ``most_words`` at most, with one more token for every other word and a start mark ahead of
+each text, so no text is out of vocabulary. Words are taken by count, down to the last 64th of a power of two that fits whole. The target model counts the target texts, the background model all texts, and
 both use the same smoothing: a bigram share with a Dirichlet prior on the smoothed unigram share. A text's score is the
 mean over its tokens of the target loss minus the background loss, in nats: lower is closer to the target.
 
@@ -61,14 +61,29 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(common.tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_NUMBERS: dict = {}
+def vocabulary(counted: DataFrame, most_words: int) -> pa.Array:
+    """The words in whole ranks from the top, a rank being a 64th of a power of two; so no ties need an order."""
+    rank = F.floor(F.log2("n") * 64)
+    # At most 64 * 64 ranks.
+    sizes = counted.groupBy(rank.alias("rank")).agg(F.count("*").alias("words")).orderBy(F.desc("rank")).collect()
+    held, least = 0, None
+    for r in sizes:
+        held += r["words"]
+        if held > most_words:
+            break
+        least = r["rank"]
+    if least is None:
+        return pa.array([], pa.large_string())
+    #: At most most_words words.
+    words = counted.where(rank >= least).select("word").toArrow().column("word").combine_chunks()
+    return words.cast(pa.large_string()).sort()
 
 
 def token_slices(rows: DataFrame, words) -> DataFrame:
     """(sid, first, ids, sizes, tokens) of ``rows(uid, doc_id, text)``: runs of rows as token numbers end to end."""
 
     def run(batches):
-        vocabulary = words.value
+        known = words.value
         for b in batches:
             sid = b.column(0).to_numpy() >> ROWS_BITS
             edges = [0, *(np.flatnonzero(np.diff(sid)) + 1).tolist(), b.num_rows]
@@ -76,7 +91,7 @@ def token_slices(rows: DataFrame, words) -> DataFrame:
                 for at, n in common.slices(b.column(2).slice(low, high - low)):
                     part = b.slice(low + at, n)
                     flat, sizes = coded(part.column(2))
-                    number = pc.add(pc.fill_null(pc.index_in(flat.dictionary, value_set=vocabulary), -1), 1).to_numpy(zero_copy_only=False)
+                    number = pc.add(pc.fill_null(pc.index_in(flat.dictionary, value_set=known), -1), 1).to_numpy(zero_copy_only=False)
                     tokens = number.astype("<u2")[flat.indices.to_numpy()] if len(flat) else np.empty(0, "<u2")
                     ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(1))
                     uid = part.column(0)[0].as_py()
@@ -208,9 +223,8 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", most_
     spark = docs.sparkSession
     uid = common.free_name(docs, "uid")
     own = common.with_uid(docs, uid).select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    top = word_counts(own.select("text")).orderBy(F.desc("n"), "word").limit(min(most_words, START - 1)).toArrow()
-    #: At most most_words words.
-    words = spark.sparkContext.broadcast(top.column("word").combine_chunks().cast(pa.large_string()))
+    top = vocabulary(common.save(word_counts(own.select("text")), "words"), min(most_words, START - 1))
+    words = spark.sparkContext.broadcast(top)
 
     wanted = labels.where(target).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     in_slice = own.select("uid", "doc_id").join(wanted, "doc_id").groupBy(F.shiftright("uid", ROWS_BITS).alias("sid"))
@@ -218,7 +232,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", most_
     held = common.save(token_slices(own, words).join(targets, "sid", "left"), "slices")
 
     counts = unigrams(held)
-    size = top.num_rows + 1
+    size = len(top) + 1
     model = spark.sparkContext.broadcast(counts)
     buckets = max(1, math.ceil(int(counts[0].sum()) / bucket_tokens))
     replies = answers(asks(held, buckets)).groupBy("sid", "first").agg(F.sort_array(F.collect_list(F.struct("bucket", "b", "t"))).alias("got"))

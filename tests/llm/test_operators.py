@@ -115,7 +115,9 @@ def test_language_model(spark, sf, most_words, bucket_tokens):
     chosen = sorted(texts)[:60]
     words = {d: texts[d].lower().split() for d in chosen}
     often = collections.Counter(w for ws in words.values() for w in ws)
-    known = set(sorted(often, key=lambda w: (-often[w], w.encode()))[:most_words])
+    rank = {w: int(np.floor(np.log2(n) * 64)) for w, n in often.items()}
+    known = {w for w in often if sum(r >= rank[w] for r in rank.values()) <= most_words}
+    assert known
     size = len(known) + 1
     pairs = {d: list(zip([None] + ws, ws)) for d, ws in ((d, [w if w in known else "" for w in ws]) for d, ws in words.items())}
 
