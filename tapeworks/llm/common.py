@@ -87,6 +87,13 @@ def slices(texts: pa.Array, most_rows: int = 4096, most_bytes: int = 1 << 23):
         yield start, len(size) - start
 
 
+def parts(batches, text: int):
+    """The batches in runs of bounded bytes of their column ``text``, so that its values can be held as Python objects."""
+    for b in batches:
+        for start, rows in slices(b.column(text)):
+            yield b.slice(start, rows)
+
+
 def crc_fold(doc_id):
     """crc32 of the id written as text, mod 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

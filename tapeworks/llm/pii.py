@@ -297,7 +297,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches):
         own = masker(key)
-        for b in batches:
+        for b in common.parts(batches, 1):
             done = [own.mask(t) for t in b.column(1).to_pylist()]
             counts = [pa.array([x[1][i] for x in done], pa.int64()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in done], pa.string()), *counts], ["doc_id", "text", *(f"n_{k}" for k in KINDS)])
@@ -312,7 +312,7 @@ def mask_texts(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches):
         own = masker(key)
-        for b in batches:
+        for b in common.parts(batches, at):
             texts = pa.array([own.mask(t)[0] for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), texts)
 

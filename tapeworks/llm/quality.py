@@ -5,8 +5,8 @@ reduced-error pruning: for the class "low" it grows a conjunction of threshold t
 statistics by information gain, prunes it from the end on the other third, keeps it while its precision there is
 high enough, removes the rows it covers and goes on. The list is emitted as one ordered Spark CASE expression.
 
-The learner reads at most ``most_labelled`` labelled rows, picked by the hash of their id; statistics and verdicts
-cover every text.
+The learner reads at most ``most_labelled`` labelled rows, picked by the hash of their id, and one text of each; statistics
+and verdicts cover every text.
 
 Defined cases: a null text counts as empty and fails the base rule (fewer than 50 words); without labels the list is
 empty and every text that passes the base rule is kept; repeated rows are judged each; a null doc_id is judged like
@@ -101,7 +101,7 @@ def statistics(docs: DataFrame, *extra: str) -> DataFrame:
     n = 1 + len(extra)
 
     def run(batches):
-        for b in batches:
+        for b in common.parts(batches, n):
             rows = np.array([counts(t) for t in b.column(n).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             arrays = [b.column(i) for i in range(n)] + [pa.array(rows[:, i]) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *extra, *COUNTS])
@@ -207,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> li
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality is not null")
     #: Two numbers a row, at most most_labelled rows.
     picked = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_labelled)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # One text of an id that repeats, so the rows are bounded whatever the ids.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = statistics(texts, "quality").where("n_words >= 50").select("doc_id", "quality", *[F.expr(f"cast({sql} as double)").alias(k) for k, sql in RATIOS.items()]).toPandas()
     rows = rows.sort_values(["doc_id", "quality", *RATIOS], kind="stable")
     return learn(rows[list(RATIOS)].to_numpy(np.float64), (rows["quality"] == 0).to_numpy())

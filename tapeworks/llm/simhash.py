@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, uid: str, width: int = 4) -> DataFrame:
     """(uid, doc_id, fp) of every row; fp is the bit pattern as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in common.parts(batches, 2):
             fps = np.fromiter((fingerprint(t, width) for t in common.utf8(b.column(2))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["uid", "doc_id", "fp"])
 

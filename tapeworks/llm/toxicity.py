@@ -44,35 +44,20 @@ class Model:
         return 0.0 if z < -40 else float(1 / (1 + np.exp(-min(z, 40.0))))
 
 
-def fit(side: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words: list[bytes], prior: float, features: int = 1000, support: float = 0.02, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Non-negative PU fit with the logistic loss and Adam; deterministic.
-
-    ``side`` is 1 for confirmed and 0 for unlabelled texts, ``codes`` the distinct word numbers of all texts end to end.
-    """
+def fit(side: np.ndarray, x: np.ndarray, words: list[bytes], prior: float, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
+    """Non-negative PU fit with the logistic loss and Adam; deterministic. ``side`` is 1 for confirmed and 0 for unlabelled rows of ``x``."""
     n_p, n_u = int(side.sum()), int((side == 0).sum())
     if not n_p:
         return Model()
     if not n_u:
         return Model(bias=float(np.log(0.25 / 0.75)))
-    row = np.repeat(np.arange(len(side)), lengths)
-    a = np.bincount(codes[side[row] == 1], minlength=len(words))
-    b = np.bincount(codes[side[row] == 0], minlength=len(words))
-    pooled = (a + b + 1) / (n_p + n_u + 2)
-    z = (a / n_p - b / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    able = np.flatnonzero((a >= max(5, support * n_p)) & (z >= 5))
-    chosen = sorted(able.tolist(), key=lambda i: (-z[i], words[i]))[:features]
     base = float(np.log(prior / (1 - prior)))
     highest = float(np.log(0.25 / 0.75))
-    if not chosen:
+    if not words:
         return Model(bias=min(base, highest))
-    column = np.full(len(words), -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(side), len(chosen)), np.float32)
-    has = column[codes] >= 0
-    x[row[has], column[codes[has]]] = 1
     xp, xu = x[side == 1], x[side == 0]
-    w, bias = np.zeros(len(chosen)), base
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, bias = np.zeros(len(words)), base
+    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
     for step in range(1, rounds + 1):
         narrow = w.astype(np.float32)
@@ -88,47 +73,63 @@ def fit(side: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words: list[by
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - change[:-1], bias - change[-1]
-    return Model(min(float(bias), highest), {words[c]: float(w[i]) for i, c in enumerate(chosen) if abs(w[i]) > 1e-3})
+    return Model(min(float(bias), highest), {c: float(w[i]) for i, c in enumerate(words) if abs(w[i]) > 1e-3})
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, features: int = 1000, support: float = 0.02) -> Model:
+    spark = docs.sparkSession
     fold = common.crc_fold(F.col("doc_id"))
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 2))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 2))
     total, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic:
         return Model()
     prior = min(0.9, max(1e-4, toxic / total))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     positive = known.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(most_positive)
-    pool = docs.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & (fold != 2))
+    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (fold != 2))
     unlabelled = pool.distinct().orderBy(*order).limit(most_unlabelled)
     picked = positive.withColumn("p", F.lit(1)).unionByName(unlabelled.withColumn("p", F.lit(0)))
+    #: At most most_positive + most_unlabelled rows of one id each; one text of an id that repeats.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "p").agg(F.min("text").alias("text")).select("p", "text")
 
-    def run(batches):
-        for b in batches:
+    def worded(batches):
+        for b in common.parts(batches, 1):
             words = [sorted(word_set(t)) for t in common.utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.binary()))], ["p", "words"])
 
-    #: At most most_positive + most_unlabelled rows of one id each.
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("p", "text")
-    rows = texts.mapInArrow(common.tidy(run), "p int, words array<binary>").toArrow()
-    return fit(*_coded(rows), prior)
-
+    rows = common.save(texts.mapInArrow(common.tidy(worded), "p int, words array<binary>"), "words")
+    n_p, n_u = rows.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum(1 - F.col("p")), F.lit(0))).first()
+    if not n_p or not n_u:
+        return fit(np.repeat([1, 0], [n_p, n_u]), np.zeros((n_p + n_u, 0), np.float32), [], prior)
+    # Word counts stay in the cluster; the telling words and their places in each text come to the driver.
+    counted = rows.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
+    pooled = (F.col("a") + F.col("b") + 1) / F.lit(n_p + n_u + 2)
+    z = (F.col("a") / n_p - F.col("b") / n_u) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_p + 1 / n_u))
+    able = counted.withColumn("z", z).where((F.col("a") >= max(5, support * n_p)) & (F.col("z") >= 5))
+    chosen = sorted(bytes(r["word"]) for r in able.orderBy(F.desc("z"), "word").limit(features).collect())
+    #: At most ``features`` words.
+    column = spark.sparkContext.broadcast({w: i for i, w in enumerate(chosen)})
+
+    def placed(batches):
+        for b in batches:
+            out = [np.array(sorted(column.value[w] for w in ws if w in column.value), "<i4").tobytes() for ws in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["p", "places"])
 
-def _coded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Side, number of words, word numbers end to end, and the words; rows in an order of their own content."""
-    words = rows.column("words").combine_chunks()
-    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-    coded = words.flatten().dictionary_encode()
-    lengths = np.diff(words.offsets.to_numpy()) if len(words) else np.empty(0, np.int64)
-    return rows.column("p").to_numpy(), lengths, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    found = rows.mapInArrow(common.tidy(placed), "p int, places binary").toArrow()
+    # Sums in single precision depend on the order of rows: that of their own content.
+    held = sorted(zip(found.column("p").to_pylist(), found.column("places").to_pylist()))
+    x = np.zeros((len(held), len(chosen)), np.float32)
+    for i, (_, places) in enumerate(held):
+        x[i, np.frombuffer(places, "<i4")] = 1
+    return fit(np.array([p for p, _ in held]), x, chosen, prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in common.parts(batches, 1):
             score = np.fromiter((model.score(t) for t in common.utf8(b.column(1))), np.float64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.3).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -142,7 +143,7 @@ def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.3) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in common.parts(batches, at):
             keep = [model.score(t) < reject_at for t in common.utf8(b.column(at))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
