@@ -19,7 +19,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies: Jaccard similarity of five-word shingles 0.8 or more."""
+    """SimHash near-dedup: keeps the document with the smallest id of each class of near copies, whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_copies.keep_one(docs)
 
 
@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", clean), ("near_dedup", deduplicate), ("decontamination", decontaminate), ("pii", pseudonymise), ("packing", pack)]
 
-#: A model, hashes, a tokenizer and a keyed permutation are beyond SQL; tests/llm checks run() by brute force.
+#: A model, hashes, a tokenizer and a keyed permutation are beyond SQL; tests/llm recomputes the stages in plain Python.
 ORACLE_SQL = None
 
 
