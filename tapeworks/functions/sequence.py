@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -56,8 +57,13 @@ def gcd_agg(v: pd.Series) -> int:
     return int(np.gcd.reduce(v.to_numpy(np.int64))) if len(v) else 0
 
 
-def gcd_by(df: DataFrame, keys: list[str], columns: list[str], split: str | None = None) -> DataFrame:
-    """gcd of each column by key. ``split`` names a column whose values cut large groups; gcds of gcds follow."""
-    if split:
-        df = df.groupBy(*keys, split).agg(*[gcd_agg(c).alias(c) for c in columns])
-    return df.groupBy(*keys).agg(*[gcd_agg(c).alias(c) for c in columns])
+def gcd_by(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """gcd of each column by key. Each Arrow batch gives one row a key, so only those are dealt out; gcds of gcds follow."""
+    rows = df.select(*keys, *columns)
+
+    def partial(batches):
+        for b in batches:
+            found = b.to_pandas().groupby(keys, sort=False)[columns].agg(lambda v: np.gcd.reduce(v.to_numpy(np.int64)))
+            yield pa.RecordBatch.from_pandas(found.reset_index(), schema=b.schema, preserve_index=False)
+
+    return rows.mapInArrow(partial, rows.schema).groupBy(*keys).agg(*[gcd_agg(c).alias(c) for c in columns])

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.sequence import chunked, gcd_by, prefix_sums, with_previous
+from ..functions.sequence import gcd_by, prefix_sums, with_previous
 
 
 def scales(book: DataFrame) -> DataFrame:
-    """Per session: bid and ask prices share a scale, both quantities share one, times have theirs. Two-level gcds."""
-    pairs = chunked(book).select("session_id", "chunk", F.explode(F.array(F.struct(F.col("bid_price_e8").alias("p"), F.col("bid_qty_e8").alias("q")), F.struct(F.col("ask_price_e8").alias("p"), F.col("ask_qty_e8").alias("q")))).alias("x"), "ts_ns")
-    flat = pairs.select("session_id", "chunk", F.col("x.p").alias("price"), F.col("x.q").alias("qty"), "ts_ns")
-    g = gcd_by(flat, ["session_id"], ["price", "qty", "ts_ns"], split="chunk")
+    """Per session: bid and ask prices share a scale, both quantities share one, times have theirs."""
+    g = gcd_by(book, ["session_id"], ["bid_price_e8", "ask_price_e8", "bid_qty_e8", "ask_qty_e8", "ts_ns"])
+    both = lambda a, b: F.array(F.col(a), F.col(b))
+    # One row a session is left: the gcd of two numbers by 92 steps of Euclid, enough for any two longs.
+    pair = lambda a, b: F.element_at(F.aggregate(F.sequence(F.lit(1), F.lit(92)), both(a, b), lambda x, _: F.when(x[1] == 0, x).otherwise(F.array(x[1], x[0] % F.when(x[1] != 0, x[1])))), 1)
+    g = g.select("session_id", pair("bid_price_e8", "ask_price_e8").alias("price"), pair("bid_qty_e8", "ask_qty_e8").alias("qty"), "ts_ns")
     safe = lambda c: S.safe_scale(F.abs(c))
     return g.select("session_id", safe("price").alias("price_scale"), safe("qty").alias("qty_scale"), safe("ts_ns").alias("time_scale"))
 

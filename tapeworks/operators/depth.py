@@ -1,21 +1,28 @@
-"""Order-book depth: as-of best prices, ladder offsets, run mode, hot quantities, stream sizes and the final book."""
+"""Order-book depth: as-of best prices, ladder offsets, run mode, hot quantities, stream sizes and the final book.
+
+A session is cut into slices of SLICE batches. The book at the start of a slice is relational: of every price the last
+update of earlier slices, unless it deletes. So slices are walked independently and no session is one task.
+"""
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.sequence import gcd_by
+from ..functions.sequence import gcd_by, with_previous
 from ..schema import DEPTH_HOT
 
+SLICE = 4096
+
 
 def scales(levels: DataFrame) -> DataFrame:
-    rows = levels.withColumn("chunk", F.floor(F.col("batch") / 4096))
-    g = gcd_by(rows.select("session_id", "chunk", "price_e8", "qty_e8", "ts_ns"), ["session_id"], ["price_e8", "qty_e8", "ts_ns"], split="chunk")
+    g = gcd_by(levels, ["session_id"], ["price_e8", "qty_e8", "ts_ns"])
     safe = lambda c: S.safe_scale(F.abs(c))
     return g.select("session_id", safe("price_e8").alias("price_scale"), safe("qty_e8").alias("qty_scale"), safe("ts_ns").alias("time_scale"))
 
@@ -46,41 +53,89 @@ class Book:
         return None
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["batch", "pos"], kind="stable")
-    book, rows, at = Book(), [], None
-    session = pdf["session_id"].iloc[0]
-    for batch, side, price, qty in zip(pdf["batch"].tolist(), pdf["side"].tolist(), pdf["price_e8"].tolist(), pdf["qty_e8"].tolist()):
-        if batch != at:
-            at = batch
-            rows.append((session, batch, book.best(0), book.best(1)))
+def sliced(levels: DataFrame, size: int = SLICE) -> DataFrame:
+    """The levels with their slice, and ahead of each slice (batch null) the levels that are live at its start."""
+    rows = levels.select("session_id", F.expr(f"batch div {size}").alias("slice"), "batch", "pos", "ts_ns", "side", "price_e8", "qty_e8")
+    last = rows.groupBy("session_id", "slice", "side", "price_e8").agg(F.max(F.struct("batch", "pos", "qty_e8")).alias("x"))
+    ends = rows.groupBy("session_id").agg(F.max("slice").alias("end"))
+    until = F.coalesce(F.lead("slice").over(Window.partitionBy("session_id", "side", "price_e8").orderBy("slice")), F.col("end"))
+    held = last.join(ends, "session_id").withColumn("until", until).where((F.col("x.qty_e8") != 0) & (F.col("until") > F.col("slice")))
+    null = lambda c: F.lit(None).cast("long").alias(c)
+    # One row for each slice a level lives through.
+    start = held.select("session_id", F.explode(F.sequence(F.col("slice") + 1, "until")).alias("slice"), null("batch"), null("pos"), null("ts_ns"), "side", "price_e8", F.col("x.qty_e8").alias("qty_e8"))
+    return rows.unionByName(start)
+
+
+def _walked(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """The levels of a slice in order, first rows of its batches, batch number of each row, and the bests before each batch."""
+    book = Book()
+    held = t.filter(pa.compute.is_null(t.column("batch")))
+    for side, price, qty in zip(*(held.column(c).to_pylist() for c in ("side", "price_e8", "qty_e8"))):
         book.apply(side, price, qty)
-    out = pd.DataFrame(rows, columns=["session_id", "batch", "best_bid", "best_ask"])
-    return out.astype({"best_bid": "Int64", "best_ask": "Int64"})
+    t = t.filter(pa.compute.is_valid(t.column("batch"))).sort_by([("batch", "ascending"), ("pos", "ascending")])
+    batch = t.column("batch").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(batch) else np.empty(0, np.int64)
+    levels = list(zip(*(t.column(c).to_pylist() for c in ("side", "price_e8", "qty_e8"))))
+    bids, asks = [], []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(levels)]):
+        bids.append(book.best(0))
+        asks.append(book.best(1))
+        for level in levels[i:j]:
+            book.apply(*level)
+    return t, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(batch)))), batch, bids, asks
 
 
 def best_before(levels: DataFrame) -> DataFrame:
-    """Best bid and ask strictly before each batch. A session is one sequential unit; sessions run in parallel."""
-    return levels.select("session_id", "batch", "pos", "side", "price_e8", "qty_e8").groupBy("session_id").applyInPandas(_walk, "session_id string, batch long, best_bid long, best_ask long")
+    """Best bid and ask strictly before each batch; null where the side is empty."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t, first, _, batch, bids, asks = _walked(t)
+        return pa.table({"session_id": t.column("session_id").take(pa.array(first)), "batch": pa.array(batch[first], pa.int64()), "best_bid": pa.array(bids, pa.int64()), "best_ask": pa.array(asks, pa.int64())})
+
+    return sliced(levels).groupBy("session_id", "slice").applyInArrow(run, "session_id string, batch long, best_bid long, best_ask long")
+
+
+def _modes(t: pa.Table) -> pa.Table:
+    """Of each level the best price of its side before the batch, its distance, the gap to the level before, and the batch's run mode."""
+    t, first, at, _, bids, asks = _walked(t)
+    n = len(at)
+    side, price = (t.column(c).to_numpy() for c in ("side", "price_e8"))
+    best = [asks[i] if s else bids[i] for i, s in zip(at.tolist(), side.tolist())]
+    known = np.array([b is not None for b in best], bool)
+    best = np.array([b or 0 for b in best], np.int64)
+    away = np.where(side == 0, best - price, price - best)
+    # The level before on the same side of the same batch: order by batch, side and position.
+    order = np.lexsort((np.arange(n), side, at))
+    same = np.zeros(n, bool)
+    same[1:] = (at[order][1:] == at[order][:-1]) & (side[order][1:] == side[order][:-1])
+    before = np.zeros(n, np.int64)
+    before[order[1:]] = np.where(same[1:], away[order][:-1], 0)
+    in_order = np.ones(n, bool)
+    in_order[1:] = (at[1:] != at[:-1]) | (side[:-1] <= side[1:])
+    fits = in_order & known & (away >= before)
+    run_mode = np.minimum.reduceat(fits.astype(np.int64), first) if n else np.empty(0, np.int64)
+    keep = t.select(["session_id", "batch", "pos", "ts_ns", "side", "price_e8", "qty_e8"])
+    more = {"best_e8": pa.array(best, mask=~known), "away_e8": pa.array(away, mask=~known), "gap_e8": pa.array(away - before, mask=~known), "run_mode": pa.array(run_mode[at], pa.int64())}
+    for c, v in more.items():
+        keep = keep.append_column(c, v)
+    return keep
 
 
-def offsets(levels: DataFrame) -> DataFrame:
-    """Each level's distance in ticks from the best price of its side before the batch; null where the side is empty."""
-    rows = levels.join(best_before(levels), ["session_id", "batch"]).join(scales(levels), "session_id")
-    best = F.when(F.col("side") == 0, F.col("best_bid")).otherwise(F.col("best_ask"))
-    rows = rows.withColumn("price_tick", F.expr("price_e8 div price_scale")).withColumn("best", best).withColumn("best_tick", F.expr("best div price_scale"))
-    away = F.when(F.col("side") == 0, F.col("best_tick") - F.col("price_tick")).otherwise(F.col("price_tick") - F.col("best_tick"))
-    return rows.select("session_id", "batch", "pos", "ts_ns", "side", "price_tick", "best_tick", away.alias("offset"), "qty_e8", "qty_scale", "time_scale")
+def with_mode(levels: DataFrame) -> DataFrame:
+    """Levels in ticks with their distance (offset) from the best price of their side before the batch, null where the
+    side is empty, and the batch's run mode: bids before asks, known bests, offsets from zero up and not falling by side."""
+    schema = "session_id string, batch long, pos long, ts_ns long, side long, price_e8 long, qty_e8 long, best_e8 long, away_e8 long, gap_e8 long, run_mode long"
+    rows = sliced(levels).groupBy("session_id", "slice").applyInArrow(_modes, schema).join(scales(levels), "session_id")
+    tick = lambda c: F.expr(f"{c} div price_scale")
+    return rows.select(
+        "session_id", "batch", "pos", "ts_ns", "side", tick("price_e8").alias("price_tick"), tick("best_e8").alias("best_tick"), tick("away_e8").alias("offset"),
+        tick("gap_e8").alias("gap"), "run_mode", "qty_e8", "qty_scale", "time_scale",
+    )
 
 
-def with_mode(levels: DataFrame) -> DataFrame:
-    """Offsets with the batch's run mode: bids before asks, known bests, offsets from zero up and not falling by side."""
-    rows = offsets(levels)
-    in_order = Window.partitionBy("session_id", "batch").orderBy("pos")
-    by_side = Window.partitionBy("session_id", "batch", "side").orderBy("pos")
-    fits = (F.coalesce(F.lag("side").over(in_order) <= F.col("side"), F.lit(True))) & F.coalesce(F.col("offset") >= F.coalesce(F.lag("offset").over(by_side), F.lit(0)), F.lit(False))
-    rows = rows.withColumn("fits", fits.cast("int")).withColumn("gap", F.col("offset") - F.coalesce(F.lag("offset").over(by_side), F.lit(0)))
-    return rows.withColumn("run_mode", F.min("fits").over(Window.partitionBy("session_id", "batch")).cast("long")).drop("fits")
+def offsets(levels: DataFrame) -> DataFrame:
+    """Each level's distance in ticks from the best price of its side before the batch; null where the side is empty."""
+    return with_mode(levels).drop("gap", "run_mode")
 
 
 def run_modes(levels: DataFrame) -> DataFrame:
@@ -101,30 +156,35 @@ def hot_by_side(levels: DataFrame) -> DataFrame:
 
 
 def stats(levels: DataFrame) -> DataFrame:
-    """Per session: counters, bytes of the streams and of the artifact."""
+    """Per session: counters, bytes of the streams and of the artifact. Levels are added up by batch, batches by session."""
     vl, zz = S.varint_length, S.zigzag
     hot = hot_by_side(levels)
     sizes = hot.groupBy("session_id", "side").agg(F.count("*").alias("table_size"))
-    rows = with_mode(levels).join(hot.select("session_id", "side", "qty_e8", "code"), ["session_id", "side", "qty_e8"], "left").join(sizes, ["session_id", "side"], "left")
+    coded = hot.join(sizes, ["session_id", "side"]).select("session_id", "side", "qty_e8", "code", "table_size")
+    # A map of at most DEPTH_HOT entries for each side of a session.
+    tables = coded.groupBy("session_id", "side").agg(F.map_from_entries(F.collect_list(F.struct("qty_e8", "code"))).alias("codes"), F.max("table_size").alias("table_size"))
+    rows = with_mode(levels).join(tables, ["session_id", "side"], "left").withColumn("code", F.try_element_at("codes", F.col("qty_e8")))
     live, run = F.col("qty_e8") != 0, F.col("run_mode") == 1
     escape = live & F.col("code").isNull()
     price = F.when(run, vl(F.col("gap"))).when(F.col("offset").isNotNull(), vl(zz(F.col("offset")))).otherwise(vl(zz(F.col("price_tick"))))
-    per_level = rows.groupBy("session_id").agg(
-        F.count("*").alias("level_count"), F.sum((~live).cast("long")).alias("delete_count"), F.sum(escape.cast("long")).alias("qty_escape_count"),
-        F.sum(F.col("offset").isNotNull().cast("long")).alias("offset_price_count"), F.sum(F.col("offset").isNull().cast("long")).alias("absolute_price_count"),
-        F.sum((~run).cast("long")).alias("explicit_levels"), F.sum(price).alias("price_bytes"),
+    flag = lambda c: F.sum(c.cast("long"))
+    per_batch = rows.groupBy("session_id", "batch").agg(
+        F.count("*").alias("level_count"), flag(~live).alias("delete_count"), flag(escape).alias("qty_escape_count"), flag(F.col("offset").isNotNull()).alias("offset_price_count"),
+        flag(F.col("offset").isNull()).alias("absolute_price_count"), flag(~run).alias("explicit_levels"), F.sum(price).alias("price_bytes"),
         F.sum(F.when(live, vl(F.coalesce("code", "table_size", F.lit(0)))).otherwise(0)).alias("qty_code_bytes"),
         F.sum(F.when(escape, vl(F.expr("qty_e8 div qty_scale"))).otherwise(0)).alias("qty_escape_bytes"),
+        F.min("run_mode").alias("run_mode"), flag(F.col("side") == 0).alias("bid_count"), F.sum("side").alias("ask_count"), F.min(F.expr("ts_ns div time_scale")).alias("t"),
     )
-    unit = levels.join(scales(levels), "session_id").groupBy("session_id", "batch").agg(F.min(F.expr("ts_ns div time_scale")).alias("t"))
-    dt = F.col("t") - F.coalesce(F.lag("t").over(Window.partitionBy("session_id").orderBy("batch")), F.col("t"))
-    modes = run_modes(levels).join(unit.withColumn("dt", dt), ["session_id", "batch"])
-    per_batch = modes.groupBy("session_id").agg(
+    per_batch = with_previous(per_batch.withColumnRenamed("batch", "seq"), ["t"])
+    dt = F.col("t") - F.coalesce("prev_t", F.col("t"))
+    total = lambda c: F.sum(c).alias(c)
+    out = per_batch.groupBy("session_id").agg(
+        *[total(c) for c in ("level_count", "delete_count", "qty_escape_count", "offset_price_count", "absolute_price_count", "explicit_levels", "price_bytes", "qty_code_bytes", "qty_escape_bytes")],
         F.count("*").alias("batch_count"), F.sum("run_mode").alias("run_mode_batches"), F.sum(1 - F.col("run_mode")).alias("fallback_batches"),
-        F.sum(vl(F.col("dt")) + vl(F.col("level_count")) + 1 + F.when(F.col("run_mode") == 1, vl(F.col("bid_count")) + vl(F.col("ask_count"))).otherwise(0)).alias("batch_bytes"),
+        F.sum(vl(dt) + vl(F.col("level_count")) + 1 + F.when(run, vl(F.col("bid_count")) + vl(F.col("ask_count"))).otherwise(0)).alias("batch_bytes"),
     )
     table = hot.groupBy("session_id").agg((F.count("*") * 8).alias("hot_table_bytes"))
-    out = per_level.join(per_batch, "session_id").join(table, "session_id", "left").withColumn("hot_table_bytes", F.coalesce("hot_table_bytes", F.lit(0)))
+    out = out.join(table, "session_id", "left").withColumn("hot_table_bytes", F.coalesce("hot_table_bytes", F.lit(0)))
     out = out.withColumn("side_bytes", S.bit_bytes(F.col("explicit_levels"))).withColumn("delete_bytes", S.bit_bytes(F.col("level_count")))
     out = out.withColumn("raw_runtime_bytes", 8 * F.col("batch_count") + 32 * F.col("level_count"))
     whole = F.lit(176) + F.col("hot_table_bytes") + F.col("batch_bytes") + F.col("side_bytes") + F.col("delete_bytes") + F.col("price_bytes") + F.col("qty_code_bytes") + F.col("qty_escape_bytes")

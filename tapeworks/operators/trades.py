@@ -1,147 +1,158 @@
-"""Trades: gcd scales, time and price runs, quantity dictionary, stream sizes, and the way back."""
+"""Trades: gcd scales, time and price runs, quantity dictionary, stream sizes, and the way back.
+
+Every figure belongs to one chunk of CHUNK_RECORDS records, so records are dealt out once by (session, chunk) and each
+chunk goes through one numpy kernel; nothing is joined back. The logical encoding is a row of arrays for each chunk and
+is decoded where it stands, without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.sequence import KEY, by_chunk, chunked, gcd_by
-from ..schema import CHUNK_RECORDS, HOT_CAPACITIES
+from ..functions.chunk import TradesChunk
+from ..functions.sequence import KEY, chunked
+from ..schema import CHUNK_RECORDS
 
+_HEAD = "session_id string, chunk long, "
+
+
+def _longs(names: str) -> str:
+    return _HEAD + ", ".join(f"{c} long" for c in names.split())
 
-def scales(trades: DataFrame) -> DataFrame:
-    """Per chunk: records, base time and price, and the price, quantity and time scales.
 
-    gcd(base, ts - base) over a chunk equals the gcd of its times, so one aggregate serves.
-    """
-    rows = chunked(trades)
-    first = rows.groupBy(*KEY).agg(F.count("*").alias("records"), F.min_by("ts_ns", "seq").alias("base_ts"), F.min_by("price_e8", "seq").alias("base_price"))
-    gcds = gcd_by(rows, KEY, ["price_e8", "qty_e8", "ts_ns"])
-    named = gcds.select(*KEY, S.safe_scale(F.col("price_e8")).alias("price_scale"), S.safe_scale(F.col("qty_e8")).alias("qty_scale"), S.safe_scale(F.col("ts_ns")).alias("time_scale"))
-    return first.join(named, KEY)
+def _each(trades: DataFrame, columns, schema: str) -> DataFrame:
+    """Rows of ``columns(chunk)`` for each chunk."""
 
+    def run(t: pa.Table) -> pa.Table:
+        c = TradesChunk(t)
+        return c.rows(columns(c))
 
-def runs(trades: DataFrame) -> DataFrame:
-    """Rows with the number of their time group (tg) and price group (pg) inside the chunk."""
-    w = by_chunk()
-    rows = chunked(trades)
-    new_t = (F.coalesce(F.lag("ts_ns").over(w) != F.col("ts_ns"), F.lit(True))).cast("long")
-    new_p = (F.coalesce((F.lag("price_e8").over(w) != F.col("price_e8")) | (F.lag("side").over(w) != F.col("side")), F.lit(True))).cast("long")
-    rows = rows.withColumn("new_t", new_t).withColumn("new_p", F.greatest("new_t", new_p))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("tg", F.sum("new_t").over(running) - 1).withColumn("pg", F.sum("new_p").over(running) - 1)
+    rows = chunked(trades.select("session_id", "seq", "price_e8", "qty_e8", "side", "ts_ns"))
+    return rows.groupBy(*KEY).applyInArrow(run, schema)
+
+
+def scales(trades: DataFrame) -> DataFrame:
+    """Per chunk: records, base time and price, and the price, quantity and time scales."""
+    one = lambda c: {"records": c.records, "base_ts": c.ts[0], "base_price": c.price[0], "price_scale": c.price_scale, "qty_scale": c.qty_scale, "time_scale": c.time_scale}
+    return _each(trades, one, _longs("records base_ts base_price price_scale qty_scale time_scale"))
 
 
 def price_groups(trades: DataFrame) -> DataFrame:
     """Per price group: records, side, price tick, its zigzag delta to the group before and the flag bits."""
-    groups = runs(trades).groupBy(*KEY, "pg").agg(F.min("tg").alias("tg"), F.count("*").alias("n"), F.min("price_e8").alias("price_e8"), F.min("side").alias("side"))
-    rows = groups.join(scales(trades).select(*KEY, "base_price", "price_scale"), KEY)
-    tick = F.expr("price_e8 div price_scale")
-    before = F.coalesce(F.lag("price_tick").over(by_chunk("pg")), F.expr("base_price div price_scale"))
-    rows = rows.withColumn("price_tick", tick).withColumn("dp", F.col("price_tick") - before)
-    return rows.select(
-        *KEY, "pg", "tg", "n", "side", "price_tick", "dp", S.zigzag(F.col("dp")).alias("dp_zigzag"),
-        (F.col("dp") == 0).cast("long").alias("dp_zero"), (F.col("n") == 1).cast("long").alias("count_one"),
-    )
+    return _each(trades, lambda c: c.price_groups, _longs("pg tg n side price_tick dp dp_zigzag dp_zero count_one"))
 
 
 def time_groups(trades: DataFrame) -> DataFrame:
     """Per time group: records, price groups, time unit and its delta to the group before."""
-    groups = runs(trades).groupBy(*KEY, "tg").agg(F.count("*").alias("n"), F.sum("new_p").alias("price_groups"), F.min("ts_ns").alias("ts_ns"))
-    rows = groups.join(scales(trades).select(*KEY, "base_ts", "time_scale"), KEY).withColumn("ts_unit", F.expr("ts_ns div time_scale"))
-    before = F.coalesce(F.lag("ts_unit").over(by_chunk("tg")), F.expr("base_ts div time_scale"))
-    return rows.select(*KEY, "tg", "n", "price_groups", "ts_unit", (F.col("ts_unit") - before).alias("dt"), (F.col("price_groups") == 1).cast("long").alias("price_group_count_one"))
+    return _each(trades, lambda c: c.time_groups, _longs("tg n price_groups ts_unit dt price_group_count_one"))
 
 
 def quantity_ranks(trades: DataFrame) -> DataFrame:
     """Histogram of quantity lots by chunk, ranked by count downwards, then lot."""
-    lots = chunked(trades).join(scales(trades).select(*KEY, "qty_scale"), KEY).withColumn("lot", F.expr("qty_e8 div qty_scale"))
-    hist = lots.groupBy(*KEY, "lot").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("n"), "lot")).cast("long") - 1
-    return hist.withColumn("rank", rank)
+    return _each(trades, lambda c: c.ranks, _longs("lot n rank"))
 
 
 def capacity_costs(trades: DataFrame) -> DataFrame:
     """Cost of each dictionary capacity by chunk: code bytes, escape bytes, two bytes an entry and one an escape."""
-    ranks = quantity_ranks(trades).withColumn("capacity", F.explode(F.array(*[F.lit(c).cast("long") for c in HOT_CAPACITIES])))
-    hot = F.col("rank") < F.col("capacity")
-    sums = ranks.groupBy(*KEY, "capacity").agg(
-        F.sum("n").alias("records"),
-        F.sum(hot.cast("long")).alias("hot"),
-        F.sum(F.when(hot, 0).otherwise(F.col("n"))).alias("escapes"),
-        F.sum(F.when(hot, 0).otherwise(F.col("n") * S.varint_length(F.col("lot")))).alias("escape_bytes"),
-    )
-    bits = S.capacity_bits(F.col("capacity"))
-    cost = S.bit_bytes(F.col("records") * bits) + F.col("escape_bytes") + 2 * F.col("hot") + F.col("escapes")
-    return sums.withColumn("bits", bits).withColumn("cost", cost)
+    return _each(trades, lambda c: c.costs, _longs("capacity records hot escapes escape_bytes bits cost"))
 
 
 def hot_capacity(trades: DataFrame) -> DataFrame:
     """The cheapest capacity of each chunk; of equal costs the smallest."""
-    costs = capacity_costs(trades)
-    best = costs.groupBy(*KEY).agg(F.min(F.struct("cost", "capacity", "bits", "hot", "escapes", "escape_bytes")).alias("b"))
-    return best.select(*KEY, "b.capacity", "b.bits", "b.hot", "b.escapes", "b.escape_bytes", "b.cost")
+    names = "capacity bits hot escapes escape_bytes cost"
+    return _each(trades, lambda c: {n: c.best[n] for n in names.split()}, _longs(names))
 
 
 def hot_dictionary(trades: DataFrame) -> DataFrame:
     """Entries of each chunk's dictionary in code order."""
-    ranks = quantity_ranks(trades).join(hot_capacity(trades).select(*KEY, "capacity"), KEY)
-    return ranks.where("rank < capacity").select(*KEY, F.col("rank").alias("code"), "lot", "n")
+    return _each(trades, lambda c: c.dictionary, _longs("code lot n"))
 
 
 def quantity_codes(trades: DataFrame) -> DataFrame:
     """Dictionary code of every record, the capacity itself for an escape, and the escaped lot."""
-    rows = chunked(trades).join(scales(trades).select(*KEY, "qty_scale"), KEY).withColumn("lot", F.expr("qty_e8 div qty_scale"))
-    rows = rows.join(hot_capacity(trades).select(*KEY, "capacity"), KEY)
-    rows = rows.join(hot_dictionary(trades).select(*KEY, "lot", "code"), [*KEY, "lot"], "left")
-    return rows.select("session_id", "chunk", "seq", F.coalesce("code", "capacity").alias("code"), F.when(F.col("code").isNull(), F.col("lot")).alias("escape_lot"))
+
+    def columns(c: TradesChunk) -> dict:
+        code, escape = c.codes
+        return {"seq": c.seq, "code": code, "escape_lot": pa.array(c.qty // c.qty_scale, mask=~escape)}
+
+    return _each(trades, columns, _longs("seq code escape_lot"))
+
+
+_SIZES = "records price_groups dp_zero_count count_one_count price_bytes time_groups price_group_count_one_count time_bytes hot_bits qty_escapes qty_escape_bytes hot_table_bytes flag_bytes pgc1_bytes qty_code_bytes payload_bytes"
 
 
 def stream_sizes(trades: DataFrame) -> DataFrame:
     """Bytes of the nine encoded streams of each chunk."""
-    vl = S.varint_length
-    pg = price_groups(trades).groupBy(*KEY).agg(
-        F.count("*").alias("price_groups"), F.sum("dp_zero").alias("dp_zero_count"), F.sum("count_one").alias("count_one_count"),
-        F.sum(F.when(F.col("dp") != 0, vl(F.col("dp_zigzag"))).otherwise(0) + F.when(F.col("n") != 1, vl(F.col("n") - 2)).otherwise(0)).alias("price_bytes"),
-    )
-    tg = time_groups(trades).groupBy(*KEY).agg(
-        F.count("*").alias("time_groups"), F.sum("price_group_count_one").alias("price_group_count_one_count"),
-        F.sum(vl(F.col("dt")) + F.when(F.col("price_groups") != 1, vl(F.col("price_groups"))).otherwise(0)).alias("time_bytes"),
-    )
-    hot = hot_dictionary(trades).groupBy(*KEY).agg(F.sum(vl(F.col("lot"))).alias("hot_table_bytes"))
-    cap = hot_capacity(trades).select(*KEY, F.col("bits").alias("hot_bits"), F.col("escapes").alias("qty_escapes"), F.col("escape_bytes").alias("qty_escape_bytes"))
-    rows = scales(trades).select(*KEY, "records").join(pg, KEY).join(tg, KEY).join(cap, KEY).join(hot, KEY)
-    flag = S.bit_bytes(F.col("price_groups"))
-    rows = rows.withColumn("flag_bytes", flag).withColumn("pgc1_bytes", S.bit_bytes(F.col("time_groups"))).withColumn("qty_code_bytes", S.bit_bytes(F.col("records") * F.col("hot_bits")))
-    payload = F.col("hot_table_bytes") + F.col("time_bytes") + F.col("price_bytes") + 3 * F.col("flag_bytes") + F.col("pgc1_bytes") + F.col("qty_code_bytes") + F.col("qty_escape_bytes")
-    return rows.withColumn("payload_bytes", payload)
+    return _each(trades, lambda c: c.sizes, _longs(_SIZES))
+
+
+def _line_bytes(c: TradesChunk) -> int:
+    """Bytes of the chunk's canonical lines: digits and signs, three commas, two brackets and a line feed."""
+    digits = lambda v: np.char.str_len(v.astype(str)).sum()
+    return int(digits(c.price) + digits(c.qty) + digits(c.side) + digits(c.ts)) + 6 * c.records
 
 
 def stats(trades: DataFrame) -> DataFrame:
     """Per session: counts, byte totals and bytes a trade of the artifact."""
-    lines = trades.groupBy("session_id").agg(F.sum(F.length(S.line_of("trades")) + 1).alias("input_bytes"))
-    first = scales(trades).where("chunk = 0").select("session_id", F.col("price_scale").alias("first_price_scale"), F.col("qty_scale").alias("first_qty_scale"), F.col("time_scale").alias("first_time_scale"))
+    more = "line_bytes price_scale qty_scale time_scale"
+    rows = _each(trades, lambda c: {**c.sizes, "line_bytes": _line_bytes(c), "price_scale": c.price_scale, "qty_scale": c.qty_scale, "time_scale": c.time_scale}, _longs(f"{_SIZES} {more}"))
     total = lambda c: F.sum(c).alias(c)
-    out = stream_sizes(trades).groupBy("session_id").agg(
+    first = lambda c: F.min_by(c, "chunk").alias(f"first_{c}")
+    out = rows.groupBy("session_id").agg(
         F.sum("records").alias("record_count"), F.count("*").alias("chunk_count"), total("time_groups"), total("price_groups"), total("qty_escapes"), total("dp_zero_count"),
         total("count_one_count"), total("price_group_count_one_count"), total("hot_table_bytes"), total("time_bytes"), total("price_bytes"), total("flag_bytes"), total("pgc1_bytes"),
         total("qty_code_bytes"), total("qty_escape_bytes"), (96 + F.sum(F.col("payload_bytes") + 160)).alias("encoded_bytes"),
+        F.sum("line_bytes").alias("input_bytes"), first("price_scale"), first("qty_scale"), first("time_scale"),
     )
-    return out.join(lines, "session_id").join(first, "session_id").withColumn("bytes_per_trade", S.ratio(F.col("encoded_bytes"), F.col("record_count")))
+    return out.withColumn("bytes_per_trade", S.ratio(F.col("encoded_bytes"), F.col("record_count")))
 
 
-def decode(trades: DataFrame) -> DataFrame:
+_SCALARS = "base_ts base_price price_scale qty_scale time_scale capacity".split()
+_ARRAYS = "dt tg_groups dp pg_n pg_side dictionary code escape_lot".split()
+
+
+def encode(trades: DataFrame) -> DataFrame:
+    """The logical encoding, one row for each chunk: bases and scales, and the deltas, counts, codes and escapes as arrays."""
+
+    def columns(c: TradesChunk) -> dict:
+        code, escape = c.codes
+        p, t = c.price_groups, c.time_groups
+        scalars = (c.ts[0], c.price[0], c.price_scale, c.qty_scale, c.time_scale, c.best["capacity"])
+        arrays = (t["dt"], t["price_groups"], p["dp"], p["n"], p["side"], c.dictionary["lot"], code, (c.qty // c.qty_scale)[escape])
+        return {**dict(zip(_SCALARS, scalars)), **{n: pa.array([v], pa.list_(pa.int64())) for n, v in zip(_ARRAYS, arrays)}}
+
+    return _each(trades, columns, _longs(" ".join(_SCALARS)) + ", " + ", ".join(f"{c} array<long>" for c in _ARRAYS))
+
+
+def decode_chunks(encoded: DataFrame) -> DataFrame:
     """Records rebuilt from the logical encoding alone: prefix sums of deltas, dictionary look-ups and escapes."""
-    base = scales(trades)
-    up_to = lambda c: Window.partitionBy(*KEY).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    pg = price_groups(trades).select(*KEY, "pg", "tg", "n", "side", "dp").join(base.select(*KEY, "base_price", "price_scale"), KEY)
-    pg = pg.withColumn("price_e8", (F.expr("base_price div price_scale") + F.sum("dp").over(up_to("pg"))) * F.col("price_scale"))
-    pg = pg.withColumn("first", F.sum("n").over(up_to("pg")) - F.col("n"))
-    tg = time_groups(trades).select(*KEY, "tg", "dt").join(base.select(*KEY, "base_ts", "time_scale"), KEY)
-    tg = tg.select(*KEY, "tg", ((F.expr("base_ts div time_scale") + F.sum("dt").over(up_to("tg"))) * F.col("time_scale")).alias("ts_ns"))
-    rows = pg.join(tg, [*KEY, "tg"]).select(*KEY, "price_e8", "side", "ts_ns", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
-    rows = rows.withColumn("seq", F.col("chunk") * CHUNK_RECORDS + F.col("i"))
-    codes = quantity_codes(trades).join(hot_dictionary(trades).select(*KEY, "code", "lot"), [*KEY, "code"], "left").join(base.select(*KEY, "qty_scale"), KEY)
-    qty = codes.select(*KEY, "seq", (F.coalesce("lot", "escape_lot") * F.col("qty_scale")).alias("qty_e8"))
-    return rows.join(qty, [*KEY, "seq"]).select("session_id", "seq", F.col("price_e8").cast("long"), "qty_e8", "side", "ts_ns")
+    order = ["session_id", "chunk", *_SCALARS, *_ARRAYS]
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                session, chunk, *scalars = (b.column(j)[i].as_py() for j in range(2 + len(_SCALARS)))
+                base_ts, base_price, ps, qs, tsx, capacity = scalars
+                dt, groups, dp, n, side, table, code, escapes = (b.column(2 + len(_SCALARS) + j)[i].values.to_numpy() for j in range(len(_ARRAYS)))
+                price = np.repeat((base_price // ps + np.cumsum(dp)) * ps, n)
+                ends = np.cumsum(n)
+                per_time = np.diff(np.concatenate([[0], ends[np.cumsum(groups) - 1]]))
+                ts = np.repeat((base_ts // tsx + np.cumsum(dt)) * tsx, per_time)
+                escape = code == capacity
+                lot = np.empty(len(code), np.int64)
+                lot[~escape] = table[code[~escape]]
+                lot[escape] = escapes
+                seq = chunk * CHUNK_RECORDS + np.arange(len(code))
+                columns = [pa.array([session] * len(code)), *map(pa.array, (seq, price, lot * qs, np.repeat(side, n), ts))]
+                yield pa.RecordBatch.from_arrays(columns, ["session_id", "seq", "price_e8", "qty_e8", "side", "ts_ns"])
+
+    return encoded.select(*order).mapInArrow(run, "session_id string, seq long, price_e8 long, qty_e8 long, side long, ts_ns long")
+
+
+def decode(trades: DataFrame) -> DataFrame:
+    """Records after a way through the logical encoding."""
+    return decode_chunks(encode(trades))
