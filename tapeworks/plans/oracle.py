@@ -7,18 +7,18 @@ from ..operators import catalog
 from ..schema import STATUSES
 from .queries import BLOCK
 
-TRADES = """trades AS (
+TRADES = """trades AS MATERIALIZED (
   SELECT CAST(year(l_shipdate) AS VARCHAR) AS session_id,
     row_number() OVER (PARTITION BY year(l_shipdate) ORDER BY l_shipdate,l_quantity,l_linestatus,l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_discount,l_tax,l_returnflag) - 1 AS seq,
     CAST(l_quantity AS BIGINT) * 100000000 AS price_e8, CAST(round(l_extendedprice * 100) AS BIGINT) * 1000000 AS qty_e8,
     CAST(l_linestatus = 'O' AS BIGINT) AS side, epoch_us(l_shipdate) * 1000 AS ts_ns
   FROM lineitem)"""
-BOOK = """book AS (
+BOOK = """book AS MATERIALIZED (
   SELECT strftime(ts, '%Y-%m-%d') AS session_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1 AS seq,
     CAST(round(value * 100) AS BIGINT) * 1000000 AS bid_price_e8, CAST((user_id % 20 + 1) * 100000000 AS BIGINT) AS bid_qty_e8,
     CAST(CAST(round(value * 100) AS BIGINT) * 1000000 + (event_id % 3 + 1) * 1000000 AS BIGINT) AS ask_price_e8, CAST((event_id % 10 + 1) * 100000000 AS BIGINT) AS ask_qty_e8, epoch_us(ts) * 1000 AS ts_ns
   FROM events)"""
-LEVELS = """levels AS (
+LEVELS = """levels AS MATERIALIZED (
   SELECT CAST(year(o_orderdate) AS VARCHAR) AS session_id,
     dense_rank() OVER (PARTITION BY year(o_orderdate) ORDER BY epoch_us(o_orderdate) * 1000 + o_orderkey, o_orderkey) - 1 AS batch,
     row_number() OVER (PARTITION BY year(o_orderdate), epoch_us(o_orderdate) * 1000 + o_orderkey, o_orderkey ORDER BY l_linenumber,l_partkey,l_extendedprice,l_suppkey,l_quantity,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate) - 1 AS pos,
@@ -48,23 +48,23 @@ def _q(select: str, *ctes: str) -> str:
 
 
 CH = "ch AS (SELECT *, seq // 16384 AS chunk FROM trades)"
-SC = f"""sc AS (SELECT session_id, chunk, count(*) AS records, arg_min(ts_ns, seq) AS base_ts, arg_min(price_e8, seq) AS base_price,
+SC = f"""sc AS MATERIALIZED (SELECT session_id, chunk, count(*) AS records, arg_min(ts_ns, seq) AS base_ts, arg_min(price_e8, seq) AS base_price,
   {_gcd('price_e8')} AS price_scale, {_gcd('qty_e8')} AS qty_scale, {_gcd('ts_ns')} AS time_scale FROM ch GROUP BY ALL)"""
-RUNS = """fl AS (SELECT *, CAST(coalesce(lag(ts_ns) OVER w <> ts_ns, true) AS BIGINT) AS new_t,
+RUNS = """fl AS MATERIALIZED (SELECT *, CAST(coalesce(lag(ts_ns) OVER w <> ts_ns, true) AS BIGINT) AS new_t,
     CAST(coalesce(lag(ts_ns) OVER w <> ts_ns OR lag(price_e8) OVER w <> price_e8 OR lag(side) OVER w <> side, true) AS BIGINT) AS new_p FROM ch WINDOW w AS (PARTITION BY session_id, chunk ORDER BY seq)),
-  rn AS (SELECT *, CAST(sum(new_t) OVER w - 1 AS BIGINT) AS tg, CAST(sum(new_p) OVER w - 1 AS BIGINT) AS pg FROM fl WINDOW w AS (PARTITION BY session_id, chunk ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+  rn AS MATERIALIZED (SELECT *, CAST(sum(new_t) OVER w - 1 AS BIGINT) AS tg, CAST(sum(new_p) OVER w - 1 AS BIGINT) AS pg FROM fl WINDOW w AS (PARTITION BY session_id, chunk ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 PG = f"""g1 AS (SELECT session_id, chunk, pg, min(tg) AS tg, count(*) AS n, min(side) AS side, min(price_e8) // min(price_scale) AS price_tick, min(base_price) // min(price_scale) AS bt FROM rn JOIN sc USING (session_id, chunk) GROUP BY session_id, chunk, pg),
-  g2 AS (SELECT *, price_tick - coalesce(lag(price_tick) OVER (PARTITION BY session_id, chunk ORDER BY pg), bt) AS dp FROM g1),
+  g2 AS MATERIALIZED (SELECT *, price_tick - coalesce(lag(price_tick) OVER (PARTITION BY session_id, chunk ORDER BY pg), bt) AS dp FROM g1),
   pgs AS (SELECT session_id, chunk, pg, tg, n, side, price_tick, dp, {_zz('dp')} AS dp_zigzag, CAST(dp = 0 AS BIGINT) AS dp_zero, CAST(n = 1 AS BIGINT) AS count_one FROM g2)"""
 TG = """t1 AS (SELECT session_id, chunk, tg, count(*) AS n, CAST(sum(new_p) AS BIGINT) AS price_groups, min(ts_ns) // min(time_scale) AS ts_unit, min(base_ts) // min(time_scale) AS bt FROM rn JOIN sc USING (session_id, chunk) GROUP BY session_id, chunk, tg),
   tgs AS (SELECT session_id, chunk, tg, n, price_groups, ts_unit, ts_unit - coalesce(lag(ts_unit) OVER (PARTITION BY session_id, chunk ORDER BY tg), bt) AS dt, CAST(price_groups = 1 AS BIGINT) AS price_group_count_one FROM t1)"""
-RK = "lots AS (SELECT session_id, chunk, seq, qty_e8 // qty_scale AS lot FROM ch JOIN sc USING (session_id, chunk)), hi AS (SELECT session_id, chunk, lot, count(*) AS n FROM lots GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, chunk ORDER BY n DESC, lot) - 1 AS rank FROM hi)"
+RK = "lots AS MATERIALIZED (SELECT session_id, chunk, seq, qty_e8 // qty_scale AS lot FROM ch JOIN sc USING (session_id, chunk)), hi AS (SELECT session_id, chunk, lot, count(*) AS n FROM lots GROUP BY ALL), rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id, chunk ORDER BY n DESC, lot) - 1 AS rank FROM hi)"
 COST = f"""c1 AS (SELECT session_id, chunk, CAST(capacity AS BIGINT) AS capacity, {_sum('n')} AS records, {_sum('CASE WHEN rank < capacity THEN 1 ELSE 0 END')} AS hot,
     {_sum('CASE WHEN rank < capacity THEN 0 ELSE n END')} AS escapes, {_sum('CASE WHEN rank < capacity THEN 0 ELSE n * ' + _vl('lot') + ' END')} AS escape_bytes
     FROM rk CROSS JOIN (VALUES (16), (32), (64), (128)) v(capacity) GROUP BY ALL),
-  cost AS (SELECT *, length(bin(capacity)) AS bits, (records * length(bin(capacity)) + 7) // 8 + escape_bytes + 2 * hot + escapes AS cost FROM c1),
-  cap AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY session_id, chunk ORDER BY cost, capacity) = 1),
-  dict AS (SELECT session_id, chunk, rank AS code, lot, n FROM rk JOIN (SELECT session_id, chunk, capacity FROM cap) USING (session_id, chunk) WHERE rank < capacity)"""
+  cost AS MATERIALIZED (SELECT *, length(bin(capacity)) AS bits, (records * length(bin(capacity)) + 7) // 8 + escape_bytes + 2 * hot + escapes AS cost FROM c1),
+  cap AS MATERIALIZED (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY session_id, chunk ORDER BY cost, capacity) = 1),
+  dict AS MATERIALIZED (SELECT session_id, chunk, rank AS code, lot, n FROM rk JOIN (SELECT session_id, chunk, capacity FROM cap) USING (session_id, chunk) WHERE rank < capacity)"""
 _TR = [TRADES, CH, SC]
 _SZ = f"""sz AS (SELECT session_id, chunk, records, price_groups, dp_zero_count, count_one_count, price_bytes, time_groups, price_group_count_one_count, time_bytes, bits AS hot_bits, escapes AS qty_escapes, escape_bytes AS qty_escape_bytes, hot_table_bytes,
     (price_groups + 7) // 8 AS flag_bytes, (time_groups + 7) // 8 AS pgc1_bytes, (records * bits + 7) // 8 AS qty_code_bytes,
@@ -117,22 +117,85 @@ _DEPTH_STATS = f"""SELECT *, 176 + hot_table_bytes + batch_bytes + side_bytes +
 _MUT = "CASE WHEN seq % 1000 = 7 THEN regexp_replace(line, '000\\]$', '001]') WHEN seq % 1000 = 11 THEN replace(line, ',', ', ') ELSE line END"
 
 
-def _summary(canonical: str, decoded: str, fields: list[str]) -> str:
+def _pairs(canonical: str, decoded: str, fields: list[str]) -> str:
     """Line by line compare; fields are read from the text by position, time first."""
     def part(p: str, i: int) -> str:
         return f"CAST(trim(string_split(trim({p}, '[]'), ',')[{i}]) AS BIGINT)"
 
     n = len(fields) + 1
     case = f"CASE WHEN c IS NULL THEN 'extra_decoded_record' WHEN d IS NULL THEN 'missing_decoded_record' WHEN {part('c', n)} <> {part('d', n)} THEN 'ts_ns' " + " ".join(f"WHEN {part('c', i + 1)} <> {part('d', i + 1)} THEN '{f}'" for i, f in enumerate(fields)) + " END"
-    return f"""pair AS (SELECT session_id, seq + 1 AS line_no, x.line AS c, y.line AS d FROM ({canonical}) x FULL JOIN ({decoded}) y USING (session_id, seq)),
-  cmp AS (SELECT *, {case} AS field, CASE WHEN c IS NOT DISTINCT FROM d THEN 0 ELSE len(list_filter(range(1, least(length(coalesce(c, '')), length(coalesce(d, ''))) + 1), lambda i: substr(c, i, 1) <> substr(d, i, 1)))
-    + abs(coalesce(length(c) + 1, 0) - coalesce(length(d) + 1, 0)) END AS mb FROM pair)"""
+    return f"""pair AS (SELECT session_id, seq + 1 AS line_no, x.line AS c, y.line AS d FROM ({canonical}) x FULL JOIN ({decoded}) y USING (session_id, seq)), cmp AS MATERIALIZED (SELECT *, {case} AS field FROM pair)"""
+
+
+def _depth_pairs(canonical: str, decoded: str) -> str:
+    """The same for depth: time, number of levels, levels."""
+    last, head = (lambda p: f"CAST(trim(regexp_extract({p}, '([0-9-]+)\\]$', 1)) AS BIGINT)"), (lambda p: f"regexp_replace(replace({p}, ' ', ''), ',[0-9-]+\\]$', '')")
+    levels = lambda p: f"len(string_split({p}, '[')) - 2"
+    case = f"CASE WHEN c IS NULL THEN 'extra_decoded_record' WHEN d IS NULL THEN 'missing_decoded_record' WHEN {last('c')} <> {last('d')} THEN 'ts_ns' WHEN {levels('c')} <> {levels('d')} THEN 'field_count' WHEN {head('c')} <> {head('d')} THEN 'levels' END"
+    return f"""pair AS (SELECT session_id, seq + 1 AS line_no, x.line AS c, y.line AS d FROM ({canonical}) x FULL JOIN ({decoded}) y USING (session_id, seq)), cmp AS MATERIALIZED (SELECT *, {case} AS field FROM pair)"""
+
+
+def _bytes(canonical: str, decoded: str) -> str:
+    """Both streams as one text a session, compared character by character."""
+    chars = lambda t: f"SELECT session_id, unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS i FROM {t}"
+    text = lambda q: f"SELECT session_id, string_agg(line || chr(10), '' ORDER BY seq) AS t, length(string_agg(line || chr(10), '' ORDER BY seq)) AS n FROM ({q}) GROUP BY session_id"
+    cut = lambda t: f"CASE WHEN wrong IS NOT NULL OR d.n > c.n THEN replace(substr({t}, start + 1, least(32, (start // {BLOCK} + 1) * {BLOCK} - start)), chr(10), '.') ELSE '' END"
+    return f"""ct AS MATERIALIZED ({text(canonical)}), dt AS MATERIALIZED ({text(decoded)}),
+  wr AS (SELECT session_id, {_sum('CASE WHEN x.ch IS NULL OR y.ch IS NULL OR x.ch <> y.ch THEN 1 ELSE 0 END')} AS mismatch_bytes, min(CASE WHEN x.ch <> y.ch THEN i END) AS wrong
+    FROM ({chars('ct')}) x FULL JOIN ({chars('dt')}) y USING (session_id, i) GROUP BY session_id),
+  bs1 AS (SELECT session_id, coalesce(c.n, 0) AS canonical_bytes, coalesce(d.n, 0) AS decoded_bytes, least(coalesce(c.n, 0), coalesce(d.n, 0)) AS compared_bytes, mismatch_bytes,
+      coalesce(wrong, CASE WHEN coalesce(c.n, 0) <> coalesce(d.n, 0) THEN least(coalesce(c.n, 0), coalesce(d.n, 0)) END, 0) AS first_mismatch_offset,
+      CASE WHEN wrong IS NOT NULL OR d.n > c.n THEN 'byte' WHEN c.n <> d.n THEN 'length' END AS kind, {cut('c.t')} AS preview_canonical, {cut('d.t')} AS preview_decoded
+    FROM (SELECT *, coalesce(wrong, least(cn, dn) // {BLOCK} * {BLOCK}) AS start FROM (SELECT w.*, a.n AS cn, b.n AS dn FROM wr w LEFT JOIN ct a USING (session_id) LEFT JOIN dt b USING (session_id))) LEFT JOIN ct c USING (session_id) LEFT JOIN dt d USING (session_id))"""
+
+
+def _verified(mode: str = "both") -> str:
+    by_byte, by_record = mode != "record", mode != "byte"
+    time = r"CAST(trim(regexp_extract(d, '([0-9-]+)\s*\]$', 1)) AS BIGINT)"
+    records = f"SELECT session_id, count(c) AS canonical_record_count, count(d) AS decoded_record_count, coalesce(max({time}) - min({time}), 0) AS replay_time_span_ns, count(field) = 0 AS record_exact, min(CASE WHEN field IS NOT NULL THEN line_no END) AS first_line, arg_min(field, line_no) FILTER (WHERE field IS NOT NULL) AS field FROM cmp GROUP BY session_id"
+    byte = lambda c, zero="CAST(0 AS BIGINT)": c if by_byte else zero
+    rec = lambda c, zero="CAST(0 AS BIGINT)": c if by_record else zero
+    be, re_ = byte("mismatch_bytes = 0", "false"), rec("record_exact", "false")
+    bad = f"({rec('NOT record_exact', 'false')} OR {byte('mismatch_bytes <> 0', 'false')})"
+    return f"""SELECT session_id, {byte('canonical_bytes')} AS canonical_bytes, {byte('decoded_bytes')} AS decoded_bytes, {byte('compared_bytes')} AS compared_bytes, {byte('mismatch_bytes')} AS mismatch_bytes,
+  {byte('100 * (CAST(mismatch_bytes AS DOUBLE) / CAST(greatest(canonical_bytes, decoded_bytes) AS DOUBLE))', 'CAST(0 AS DOUBLE)')} AS mismatch_percent, {be} AS byte_exact, {re_} AS record_exact,
+  {rec('canonical_record_count')} AS canonical_record_count, {rec('decoded_record_count')} AS decoded_record_count, {rec('replay_time_span_ns')} AS replay_time_span_ns, {byte('first_mismatch_offset')} AS first_mismatch_offset,
+  {rec('CAST(coalesce(first_line, 0) AS BIGINT)')} AS first_mismatch_line, coalesce({rec('field', 'NULL')}, {byte('kind', 'NULL')}, '') AS first_mismatch_field, {byte('preview_canonical', "''")} AS preview_canonical, {byte('preview_decoded', "''")} AS preview_decoded,
+  CASE WHEN {bad} THEN 'verification_failed' ELSE 'ok' END AS status, CASE WHEN {rec('NOT record_exact', 'false')} THEN 'decoded records differ from canonical jsonl' WHEN {bad} THEN 'decoded bytes differ from canonical jsonl' ELSE '' END AS error, NOT {bad} AS verified
+  FROM bs1 JOIN ({records}) USING (session_id)"""
+
+
+def _fnv(values: str) -> str:
+    return f"list_reduce(list_transform({values}, lambda v: v::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)"
+
+
+def _le(c: str) -> str:
+    return f"list_transform(range(8), lambda k: CAST(({c} >> (8 * k)) & 255 AS BIGINT))"
+
+
+def _signed(h: str) -> str:
+    return f"CAST(CASE WHEN {h} >= 9223372036854775808::HUGEINT THEN {h} - 18446744073709551616::HUGEINT ELSE {h} END AS BIGINT)"
+
+
+def _hashes(stream: str, source: str, text: str, name: str, fields: list[str]) -> str:
+    """Sequential hashes by folds over the bytes of a session's lines and of its records."""
+    name_bytes = "[" + ", ".join(str(b) for b in stream.encode()) + "]"
+    if stream == "depth":
+        level = f"list_concat(list_concat({_le('price_e8')}, {_le('qty_e8')}), {_le('side')})"
+        rows = f"SELECT session_id, batch AS seq, min(ts_ns) AS ts, count(*) AS n, {_fnv(f'flatten(list({level} ORDER BY pos))')} AS own FROM levels GROUP BY session_id, batch"
+        # The hash is unsigned: its bytes by division.
+        own = "list_transform(range(8), lambda k: CAST((own // (CAST(1 AS HUGEINT) << (8 * k))) % 256 AS BIGINT))"
+        record = f"flatten([{name_bytes}, {_le('ts')}, {_le('n')}, {own}, list_transform(range(8 * least(n, 8)), lambda k: CAST(0 AS BIGINT))])"
+    else:
+        table = "trades" if stream == "trades" else "book"
+        rows = f"SELECT *, ts_ns AS ts FROM {table}"
+        record = f"flatten([{name_bytes}, {_le('ts')}, {_le(f'CAST({len(fields)} AS BIGINT)')}, {', '.join(map(_le, fields))}])"
+    return _q(
+        f"SELECT session_id, {_signed('b')} AS byte_hash, {_signed('r')} AS record_hash FROM (SELECT session_id, {_fnv(chr(39).join(['list_transform(string_split(string_agg(line || chr(10), ', '', ' ORDER BY seq), ', '', '), lambda x: ascii(x))']))} AS b FROM {name} GROUP BY session_id)"
+        f" JOIN (SELECT session_id, {_fnv('flatten(list(bytes ORDER BY seq))')} AS r FROM (SELECT session_id, seq, {record} AS bytes FROM ({rows})) GROUP BY session_id) USING (session_id)",
+        source, text)
 
 
-_SUMMARY = f"""SELECT session_id, count(c) AS canonical_record_count, count(d) AS decoded_record_count, sum(mb) = 0 AS byte_exact, count(field) = 0 AS record_exact, {_sum('mb')} AS mismatch_bytes,
-  100 * (CAST(sum(mb) AS DOUBLE) / CAST(sum(coalesce(length(c) + 1, 0)) AS DOUBLE)) AS mismatch_percent,
-  coalesce(min(CASE WHEN field IS NOT NULL OR mb > 0 THEN line_no END), 0) AS first_mismatch_line, coalesce(arg_min(coalesce(field, 'byte'), line_no) FILTER (WHERE field IS NOT NULL OR mb > 0), '') AS first_mismatch_field,
-  CASE WHEN sum(mb) = 0 AND count(field) = 0 THEN 'ok' ELSE 'verification_failed' END AS status FROM cmp GROUP BY session_id"""
 _TF, _BF = ["price_e8", "qty_e8", "side"], ["bid_price_e8", "bid_qty_e8", "ask_price_e8", "ask_qty_e8"]
 
 _RUNS = """runs AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'std.zstd_jsonl_blocks_v1' ELSE 'std.gzip_jsonl_blocks_v1' END AS pipeline_id, ['trades', 'bookticker', 'depth'][o_orderkey % 3 + 1] AS stream,
@@ -214,10 +277,9 @@ ORACLE = {
     "blocks_layout": _q(f"SELECT session_id, block, min(greatest(s, block * {BLOCK})) AS first_byte_offset, {_sum(f'least(e, (block + 1) * {BLOCK}) - greatest(s, block * {BLOCK})')} AS uncompressed_bytes, {_sum(f'CASE WHEN (e - 1) // {BLOCK} = block THEN 1 ELSE 0 END')} AS line_count FROM bl GROUP BY session_id, block", TRADES, _LT, _LAY),
     "replay_batches": _q(f"SELECT session_id, seq // 4096 AS batch, count(*) AS record_count, min(seq) + 1 AS first_line_number, {_sum('length(line) + 1')} AS decoded_bytes FROM lt GROUP BY ALL", TRADES, _LT),
     "replay_time_span": _q("SELECT 'trades' AS stream, session_id, max(ts_ns) - min(ts_ns) AS time_span_ns FROM trades GROUP BY session_id UNION ALL SELECT 'bookticker', session_id, max(ts_ns) - min(ts_ns) FROM book GROUP BY session_id", TRADES, BOOK),
-    "verify_records_exact": _q(_SUMMARY, TRADES, _LT, _summary("SELECT * FROM lt", "SELECT * FROM lt", _TF)),
-    "verify_records_mutated": _q("SELECT session_id, line_no, field FROM cmp WHERE field IS NOT NULL", TRADES, _LT, _summary("SELECT * FROM lt", f"SELECT session_id, seq, {_MUT} AS line FROM lt", _TF)),
-    "verify_bytes": _q(_SUMMARY, BOOK, _LB, _summary("SELECT * FROM lb", f"SELECT session_id, seq, {_MUT} AS line FROM lb", _BF)),
-    "verify_missing_extra": _q("SELECT session_id, field, count(*) AS n, min(line_no) AS first_line FROM cmp WHERE field IS NOT NULL GROUP BY ALL", BOOK, _LB, _summary("SELECT * FROM lb", "SELECT * FROM lb WHERE seq % 97 <> 5 UNION ALL SELECT session_id, seq + 1000000, line FROM lb WHERE seq % 89 = 3", _BF)),
+    "verify_records_exact": _q(_verified(), TRADES, _LT, _pairs("SELECT * FROM lt", "SELECT * FROM lt", _TF), _bytes("SELECT * FROM lt", "SELECT * FROM lt")),
+    "verify_records_mutated": _q("SELECT session_id, line_no, field FROM cmp WHERE field IS NOT NULL", TRADES, _LT, _pairs("SELECT * FROM lt", f"SELECT session_id, seq, {_MUT} AS line FROM lt", _TF)),
+    "verify_missing_extra": _q("SELECT session_id, field, count(*) AS n, min(line_no) AS first_line FROM cmp WHERE field IS NOT NULL GROUP BY ALL", BOOK, _LB, _pairs("SELECT * FROM lb", "SELECT * FROM lb WHERE seq % 97 <> 5 UNION ALL SELECT session_id, seq + 1000000, line FROM lb WHERE seq % 89 = 3", _BF)),
     "pipeline_catalog": _values(catalog.rows(), catalog.COLUMNS),
     "pipeline_availability": f"SELECT availability, count(*) AS n FROM ({_values(catalog.rows(), catalog.COLUMNS)}) GROUP BY availability",
     "status_strings": "SELECT CAST(code AS BIGINT) AS code, status FROM (" + _values(list(enumerate(STATUSES)), ["code", "status"]) + ")",
@@ -232,6 +294,13 @@ for _stream, (_source, _text, _name) in _TEXTS.items():
     ORACLE[f"artifact_roundtrip_{_stream}"] = _q(f"SELECT session_id, seq, line FROM {_name}", _source, _text)
     for _p in PROFILES:
         ORACLE[f"entropy_roundtrip_{_p}_{_stream}"] = _q(f"SELECT session_id, count(*) AS line_count, {_sum('length(line) + 1')} AS input_bytes, true AS exact FROM {_name} GROUP BY session_id", _source, _text)
+_FIELDS = {"trades": _TF, "bookticker": _BF, "depth": []}
+for _stream, (_source, _text, _name) in _TEXTS.items():
+    _a, _b = f"SELECT * FROM {_name}", f"SELECT session_id, seq, {_MUT} AS line FROM {_name}"
+    ORACLE[f"verify_bytes_{_stream}"] = _q(_verified(), _source, _text, _depth_pairs(_a, _b) if _stream == "depth" else _pairs(_a, _b, _FIELDS[_stream]), _bytes(_a, _b))
+    ORACLE[f"stream_hashes_{_stream}"] = _hashes(_stream, _source, _text, _name, _FIELDS[_stream])
+_SHORT = "SELECT session_id, seq, line FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM lb) WHERE seq * 10 < n * 9"
+ORACLE["verify_modes"] = _q(" UNION ALL ".join(f"SELECT *, '{m}' AS mode FROM ({_verified(m)})" for m in ("byte", "record", "both")), BOOK, _LB, _pairs("SELECT * FROM lb", _SHORT, _BF), _bytes("SELECT * FROM lb", _SHORT))
 ORACLE["inspect_trades"] = f"SELECT session_id, record_count, chunk_count, time_groups, price_groups, qty_escapes FROM ({ORACLE['trades_stats']})"
 ORACLE["inspect_bookticker"] = f"SELECT session_id, record_count, encoded_bytes, mask_nonzero, time_bytes, mask_bytes, bid_bytes FROM ({ORACLE['bookticker_stats']})"
 ORACLE["inspect_depth"] = f"SELECT session_id, batch_count, level_count, encoded_bytes, delete_count, run_mode_batches, price_bytes FROM ({ORACLE['depth_stats']})"

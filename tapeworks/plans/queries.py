@@ -91,7 +91,7 @@ def _mutated(lines: DataFrame) -> DataFrame:
 
 def verify_records_exact(s: SparkSession, d: str) -> DataFrame:
     canonical = _lines(s, d, "trades")
-    return verify.summary(canonical, blocks.lines(trades.decode(_t(s, d)), "trades"), "trades")
+    return verify.summary(canonical, blocks.lines(trades.decode(_t(s, d)), "trades"), "trades", block_bytes=BLOCK)
 
 
 def verify_records_mutated(s: SparkSession, d: str) -> DataFrame:
@@ -99,9 +99,22 @@ def verify_records_mutated(s: SparkSession, d: str) -> DataFrame:
     return verify.records(canonical, _mutated(canonical), "trades").where("field is not null").select("session_id", "line_no", "field")
 
 
-def verify_bytes(s: SparkSession, d: str) -> DataFrame:
+def _verify_bytes(stream: str):
+    """Whole streams with later times, spaces and, in ``_mutated``, all bytes behind them moved."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        canonical = _lines(s, d, stream)
+        return verify.summary(canonical, _mutated(canonical), stream, block_bytes=BLOCK)
+
+    return query
+
+
+def verify_modes(s: SparkSession, d: str) -> DataFrame:
+    """One pair of streams under the three modes; the decoded one lacks its last tenth."""
     canonical = _lines(s, d, "bookticker")
-    return verify.summary(canonical, _mutated(canonical), "bookticker")
+    short = canonical.join(canonical.groupBy("session_id").agg(F.count("*").alias("n")), "session_id").where(F.col("seq") * 10 < F.col("n") * 9).drop("n")
+    each = [verify.summary(canonical, short, "bookticker", mode, BLOCK).withColumn("mode", F.lit(mode)) for mode in verify.MODES]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def verify_missing_extra(s: SparkSession, d: str) -> DataFrame:
@@ -185,8 +198,8 @@ def _inspect(stream: str):
     return query
 
 
-def stream_hashes(s: SparkSession, d: str) -> DataFrame:
-    return verify.hashes(_lines(s, d, "bookticker"), "bookticker")
+def _hashes(stream: str):
+    return lambda s, d: verify.hashes(_lines(s, d, stream), stream)
 
 
 def stream_book(s: SparkSession, d: str) -> DataFrame:
@@ -231,9 +244,10 @@ QUERIES = dict([
     _named("depth_book_final", lambda s, d: depth.final_book(_l(s, d))),
     *[(f.__name__, f) for f in (
         jsonl_strict_validation, trades_parse_roundtrip, depth_parse_levels, trades_monotonic_check, trades_qty_histogram, blocks_layout, replay_batches, replay_time_span,
-        verify_records_exact, verify_records_mutated, verify_bytes, verify_missing_extra, pipeline_catalog, pipeline_availability, status_strings, run_matrix_latest, prometheus_lines,
+        verify_records_exact, verify_records_mutated, verify_modes, verify_missing_extra, pipeline_catalog, pipeline_availability, status_strings, run_matrix_latest, prometheus_lines,
     )],
-    ("stream_hashes", stream_hashes), ("stream_book", stream_book), ("stream_delta", stream_delta),
+    *[(f"stream_hashes_{x}", _hashes(x)) for x in ("trades", "bookticker", "depth")], *[(f"verify_bytes_{x}", _verify_bytes(x)) for x in ("trades", "bookticker", "depth")],
+    ("stream_book", stream_book), ("stream_delta", stream_delta),
     *[(f"artifact_roundtrip_{x}", _artifact(x)) for x in ("trades", "bookticker", "depth")],
     *[(f"inspect_{x}", _inspect(x)) for x in ("trades", "bookticker", "depth")],
     *[(f"entropy_roundtrip_{p}_{x}", _entropy(x, p)) for x in ("trades", "bookticker", "depth") for p in PROFILES],
