@@ -25,7 +25,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.list_pipelines:
             for row in catalog.rows():
-                print("\t".join(row))
+                d = dict(zip(catalog.COLUMNS, row))
+                print("\t".join(d[c] for c in ("pipeline_id", "availability", "stream_scope", "representation", "entropy")))
         elif a.command == "inspect":
             with open(a.input, "rb") as f:
                 data = f.read()

@@ -9,14 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import chunked
 from ..schema import TapeError
 from ..sources import artifacts as A
+from ..sources import files
 from ..sources import views as V
 from . import catalog
 
 
 def encode(text: DataFrame, stream: str, profile: str | None = None) -> DataFrame:
-    """session_id, artifact, input_bytes of each session's canonical text; a session is one sequential unit."""
+    """session_id, artifact, input_bytes of each session's canonical text.
+
+    Trades are encoded and checked chunk by chunk, and a session only puts its chunks together. Quotes and depth are one
+    sequence of deltas from a base, and an entropy envelope one adaptive code: there a session is one unit.
+    """
+    if stream == "trades":
+        return _trades(text, profile)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
@@ -26,6 +34,33 @@ def encode(text: DataFrame, stream: str, profile: str | None = None) -> DataFram
     return text.select("session_id", "seq", "line").groupBy("session_id").applyInArrow(run, "session_id string, artifact binary, input_bytes long")
 
 
+def _trades(text: DataFrame, profile: str | None) -> DataFrame:
+    def chunk(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        lines = t.column("line").to_pylist()
+        raw = "".join(x + "\n" for x in lines).encode()
+        rows = A.parse_text(raw, "trades")
+        part, counts = A.encode_chunk(rows)
+        if A.to_text(A.decode_chunk(part), "trades") != raw:
+            raise TapeError("decode_error", "roundtrip check failed")
+        row = {"session_id": t.column("session_id")[0].as_py(), "chunk": t.column("chunk")[0].as_py(), "part": part, "counts": list(counts), "records": len(rows), "bytes": len(raw), "first_ts": rows[0][3], "last_ts": rows[-1][3]}
+        return pa.Table.from_pylist([row])
+
+    def whole(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("chunk").to_pylist()
+        if any(a["last_ts"] > b["first_ts"] for a, b in zip(rows, rows[1:])):
+            raise TapeError("corrupt_data", "trades out of order")
+        size, records = sum(r["bytes"] for r in rows), sum(r["records"] for r in rows)
+        data = A.trades_artifact([(r["part"], r["counts"]) for r in rows], records, False, size)
+        if profile:
+            data = A.envelope(data, "trades", profile, size, records)
+        return pa.Table.from_pylist([{"session_id": rows[0]["session_id"], "artifact": data, "input_bytes": size}])
+
+    parts = chunked(text.select("session_id", "seq", "line")).groupBy("session_id", "chunk")
+    parts = parts.applyInArrow(chunk, "session_id string, chunk long, part binary, counts array<long>, records long, bytes long, first_ts long, last_ts long")
+    return parts.groupBy("session_id").applyInArrow(whole, "session_id string, artifact binary, input_bytes long")
+
+
 def decode_lines(artifacts: DataFrame) -> DataFrame:
     """session_id, seq, line of every artifact."""
 
@@ -48,47 +83,77 @@ def inspect(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("session_id", "artifact").mapInArrow(run, "session_id string, header string")
 
 
-def views(artifacts: DataFrame, kind: str) -> DataFrame:
-    """session_id and the text of one view of every artifact: canonical-jsonl, encoded-json, encoded-binary or stats."""
+def views(artifacts: DataFrame, kind: str, pipeline_id: str | None = None) -> DataFrame:
+    """session_id and the text of one view of every artifact, by pipeline id or, without one, by the artifact's own magic:
+    canonical-jsonl, encoded-json, encoded-binary or stats."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([V.view(x, kind) for x in b.column(1).to_pylist()], pa.string())], ["session_id", "view"])
+            texts = [V.view_of(x, pipeline_id, kind) if pipeline_id else V.view(x, kind) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["session_id", "view"])
 
     return artifacts.select("session_id", "artifact").mapInArrow(run, "session_id string, view string")
 
 
-def discover(spark: SparkSession, session_dir: str, stream: str, pipeline_id: str = "std.zstd_jsonl_blocks_v1", root: str | None = None) -> str | None:
-    """Path of the first artifact that exists, in the fixed order of places; None where there is none."""
+def places(session_dir: str, stream: str, pipeline_id: str, root: str | None = None) -> list[str]:
+    """Where an artifact may lie, first choice first: below the root, in the session's folder, in data folders above it."""
     d = catalog.find(pipeline_id)
     name, session = f"{stream}{d['extension']}", os.path.basename(os.path.normpath(session_dir))
     under = lambda r: [f"{r}/{d['slug']}/sessions/{session}/{name}", f"{r}/sessions/{session}/{name}", f"{r}/{session}/{name}", f"{r}/{name}"]
-    places = (under(root) if root else []) + [f"{session_dir}/{name}"]
+    out = (under(root) if root else []) + [f"{session_dir}/{name}"]
     above = os.path.dirname(os.path.normpath(session_dir))
     while above and above != os.path.dirname(above):
-        places += under(f"{above}/compressedData")
+        out += under(f"{above}/compressedData")
         above = os.path.dirname(above)
+    return out
+
+
+def discover(spark: SparkSession, session_dir: str, stream: str, pipeline_id: str = "std.zstd_jsonl_blocks_v1", root: str | None = None) -> dict:
+    """status, found, path and header fields of the first artifact that exists. None is ``found`` false with status ok; one
+    that cannot be opened has its own status, one of another stream is corrupt_data."""
     jvm = spark.sparkContext._jvm
-    for place in places:
+    for place in places(session_dir, stream, pipeline_id, root):
         path = jvm.org.apache.hadoop.fs.Path(place)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path) and fs.getFileStatus(path).isFile():
-            return place
-    return None
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(path) or not system.getFileStatus(path).isFile():
+            continue
+        try:
+            data = bytes(spark.read.format("binaryFile").load(place).select("content").first()[0])
+            head = A.inspect(data)
+            if A.STREAM_ID[stream] != (head["stream"] if isinstance(head.get("stream"), int) else A.STREAM_ID[A.stream_of(data)]):
+                raise TapeError("corrupt_data", f"not of stream {stream}")
+        except TapeError as e:
+            return {"status": e.status, "found": False, "path": place, "error": str(e)}
+        return {"status": "ok", "found": True, "path": place, **head}
+    return {"status": "ok", "found": False, "path": None}
 
 
 class ReplayDecoder:
-    """Batches of records of one artifact through a callback that may stop the replay."""
+    """Batches of records of one artifact through a callback that may stop the replay.
+
+    ``source`` is the artifact's bytes, or the path of a container, which is decoded block by block: what comes after the
+    batch that stops it is never read. A transform artifact is one unit.
+    """
 
-    def __init__(self, data: bytes, stream: str, records: int = 4096):
+    def __init__(self, source: bytes | str, stream: str, records: int = 4096):
         if stream not in A.STREAM_ID:
             raise TapeError("invalid_argument", stream)
-        self.data, self.stream, self.records = data, stream, records or 4096
+        self.source, self.stream, self.records = source, stream, records or 4096
+
+    def _blocks(self):
+        if isinstance(self.source, str):
+            yield from files.stream_blocks(self.source)
+        elif len(self.source) >= 4 and int.from_bytes(self.source[:4], "little") in (A.CONTAINER, A.RAW):
+            index = A.read_index(self.source)
+            yield from (A.read_block(self.source, index, b) for b in index["blocks"])
+        else:
+            yield A.decompress(self.source)
+
+    def batches(self):
+        return files.record_batches(self._blocks(), self.stream, self.records)
 
     def decode_all(self, callback) -> str:
-        text = A.decompress(self.data)
-        rows = A.parse_text(b"\n".join(x for x in text.splitlines() if x.strip()), self.stream)
-        for at in range(0, len(rows), self.records):
-            if callback({"first_line_number": at + 1, "records": rows[at : at + self.records]}) is False:
+        for batch in self.batches():
+            if callback(batch) is False:
                 return "callback_stopped"
         return "ok"

@@ -10,8 +10,10 @@ from .blocks import CODECS
 
 COLUMNS = ["pipeline_id", "stream_scope", "representation", "transform", "entropy", "profile", "availability", "reason", "slug", "extension"]
 
+#: Fixed values of the formats: names of the representations, transforms, slugs and extensions, here and in ``rows``. Ids of
+#: transforms start with the engine's own family name.
 _TRANSFORMS = [
-    ("trades", "trades_grouped_delta_qtydict", "grouped_delta_qtydict", "gcd_scaled_timestamp_price_groups_bitflags_pgc1_qtydict", "v3"),
+    ("trades", "trades_grouped_delta_qtydict", "grouped_delta_qtydict", "gcd_scaled_timestamp_price_groups_bitflags_pgc1_qtydict", "math_v3"),
     ("bookticker", "bookticker_delta_mask", "delta_mask", "base_state_bid_spread_packed_change_mask_zigzag", "v2"),
     ("depth", "depth_ladder_offset", "ladder_offset", "side_runs_first_offset_gaps_delete_side_hotqty", "v3"),
 ]
@@ -29,12 +31,12 @@ def rows() -> list[tuple]:
         for p in PROFILES:
             out.append((f"tick.{base}_{p}_v1", stream, f"{representation}_entropy", transform, p, "archive", "available", "", f"{base}-{p}".replace("_", "-"), ".cxcef"))
     for codec in ("zstandard", "lz4", "lzma"):
-        out.append((f"py.{codec}_jsonl_v1", "all", "jsonl_blocks", "raw_jsonl", codec, "research", "not_implemented", "lab runner is planned", f"py-{codec}", ""))
-    planned = [("delta_varint", "delta_varint", "none", "live"), ("delta_zstd", "delta", "zstd", "archive"), ("columnar_delta_zstd", "columnar_delta", "zstd", "archive"), ("delta_lz4", "delta", "lz4", "live")]
-    for kind, transform, entropy, profile in planned:
+        out.append((f"py.{codec}_jsonl_v1", "all", "jsonl_blocks", "raw_jsonl", codec, "research", "not_implemented", "python lab runner is planned", f"py-{codec}", ""))
+    planned = [("delta_varint", "delta_varint", "none", "live", "transform"), ("delta_zstd", "delta", "zstd", "archive", "delta pipeline"), ("columnar_delta_zstd", "columnar_delta", "zstd", "archive", "columnar pipeline"), ("delta_lz4", "delta", "lz4", "live", "lz4 pipeline")]
+    for kind, transform, entropy, profile, what in planned:
         for short, stream in (("trade", "trades"), ("l1", "bookticker"), ("depth", "depth")):
             form = f"{short}_columnar" if kind.startswith("columnar") else f"{short}_delta"
-            out.append((f"{short}.{kind}_v1", stream, form, transform, entropy, profile, "not_implemented", f"{short} transform is planned", f"{short}-{kind}".replace("_", "-"), ""))
+            out.append((f"{short}.{kind}_v1", stream, form, transform, entropy, profile, "not_implemented", f"{short} {what} is planned", f"{short}-{kind}".replace("_", "-"), ""))
     return out
 
 
@@ -52,8 +54,3 @@ def find(pipeline_id: str) -> dict:
             return found
     raise TapeError("unsupported_pipeline", pipeline_id)
 
-
-def lab_codecs() -> list[dict]:
-    """Codecs of the lab by id; level ranges clamp what a caller asks for."""
-    names = {"gzip": "gzip", "bz2": "bz2", "lzma": "lzma", "zlib": "zlib", "brotli": "brotli", "zstandard": "zstd", "lz4_frame": "lz4"}
-    return [{"id": f"py.{n}_v1", "available": CODECS[c].available, "levels": CODECS[c].levels} for n, c in names.items()]

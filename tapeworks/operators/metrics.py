@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import http.server
-import json
 import os
 import threading
 
@@ -37,10 +36,12 @@ def prometheus(runs: DataFrame) -> DataFrame:
     return out.select(F.concat("m.name", "labels", F.lit(" "), "m.value").alias("line"))
 
 
-def to_json(row: dict) -> str:
-    """One result as indented JSON, unsigned 64-bit hashes as such."""
-    fixed = {k: v + (1 << 64) if k.endswith("_hash") and isinstance(v, int) and v < 0 else v for k, v in row.items()}
-    return json.dumps(fixed, indent=2) + "\n"
+def last_run(runs: DataFrame) -> DataFrame:
+    """The same without labels for the latest run of all: its success, counters and rates."""
+    rows = with_rates(runs.orderBy(F.desc("run_no")).limit(1)).withColumn("success", (F.col("status") == "ok").cast("long"))
+    values = [F.struct(F.lit(f"tape_{n}").alias("name"), F.col(c).cast("string").alias("value")) for n, c in (("last_run_success", "success"), *((c, c) for c in COUNTERS))]
+    values += [F.struct(F.lit(f"tape_{c}").alias("name"), F.format_string("%.6f", F.col(c)).alias("value")) for c in RATES]
+    return rows.select(F.explode(F.array(*values)).alias("m")).select(F.concat("m.name", F.lit(" "), "m.value").alias("line"))
 
 
 class MetricsServer:

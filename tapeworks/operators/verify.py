@@ -151,9 +151,3 @@ def hashes(text: DataFrame, stream: str) -> DataFrame:
     ordered = typed.repartition("session_id").sortWithinPartitions("session_id", "seq")
     return ordered.mapInArrow(run, "session_id string, byte_hash long, record_hash long")
 
-
-def lab_verify(original: bytes, decoded: bytes, values) -> dict:
-    """The lab rule: bytes equal, record lists equal, mismatch = difference of lengths, or 1 where only content differs."""
-    same = original == decoded
-    gap = abs(len(original) - len(decoded))
-    return {"byte_exact": same, "record_exact": values(original) == values(decoded), "mismatch_bytes": 0 if same else gap or 1}

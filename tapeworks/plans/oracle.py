@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from ..functions.kernels import PROFILES
-from ..operators import catalog
-from ..schema import STATUSES
 from .queries import BLOCK
 
 TRADES = """trades AS MATERIALIZED (
@@ -211,6 +209,25 @@ def _values(rows: list[tuple], columns: list[str]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({', '.join(columns)})"
 
 
+#: The catalogue written out by hand: one line for each block codec and stream, and rules for the rest.
+_CATALOG = """WITH std(c, entropy, profile, availability, reason, slug, extension) AS (VALUES
+    ('zstd', 'zstd', 'archive', 'available', '', 'zstd', '.hfc'), ('raw', 'none', 'research', 'available', '', 'raw-jsonl', '.hfr'),
+    ('lz4', 'lz4', 'live', 'dependency_unavailable', 'lz4 module is not installed', 'lz4', '.hfc'), ('brotli', 'brotli', 'archive', 'dependency_unavailable', 'brotli module is not installed', 'brotli', '.hfc'),
+    ('xz', 'xz', 'archive', 'available', '', 'xz', '.hfc'), ('gzip', 'gzip', 'archive', 'available', '', 'gzip', '.hfc')),
+  tr(s, base, rep, transform, version, slug) AS (VALUES
+    ('trades', 'trades_grouped_delta_qtydict', 'grouped_delta_qtydict', 'gcd_scaled_timestamp_price_groups_bitflags_pgc1_qtydict', 'math_v3', 'trades-grouped-delta-qtydict'),
+    ('bookticker', 'bookticker_delta_mask', 'delta_mask', 'base_state_bid_spread_packed_change_mask_zigzag', 'v2', 'bookticker-delta-mask'),
+    ('depth', 'depth_ladder_offset', 'ladder_offset', 'side_runs_first_offset_gaps_delete_side_hotqty', 'v3', 'depth-ladder-offset')),
+  en(e) AS (VALUES ('ac16_ctx0'), ('ac16_ctx8'), ('ac16_ctx12'), ('ac32_ctx8'), ('range_byte_ctx8'), ('rans_byte_static')),
+  sh(short, s) AS (VALUES ('trade', 'trades'), ('l1', 'bookticker'), ('depth', 'depth')),
+  pl(kind, form, transform, entropy, profile, what) AS (VALUES ('delta_varint', 'delta', 'delta_varint', 'none', 'live', 'transform'), ('delta_zstd', 'delta', 'delta', 'zstd', 'archive', 'delta pipeline'),
+    ('columnar_delta_zstd', 'columnar', 'columnar_delta', 'zstd', 'archive', 'columnar pipeline'), ('delta_lz4', 'delta', 'delta', 'lz4', 'live', 'lz4 pipeline'))
+  SELECT 'std.' || c || '_jsonl_blocks_v1' AS pipeline_id, 'all' AS stream_scope, 'jsonl_blocks' AS representation, 'raw_jsonl' AS transform, entropy, profile, availability, reason, slug, extension FROM std
+  UNION ALL SELECT 'tick.' || base || '_' || version, s, rep, transform, 'none', 'replay', 'available', '', slug || '-' || replace(version, '_', '-'), '.cxcef' FROM tr
+  UNION ALL SELECT 'tick.' || base || '_' || e || '_v1', s, rep || '_entropy', transform, e, 'archive', 'available', '', slug || '-' || replace(e, '_', '-'), '.cxcef' FROM tr CROSS JOIN en
+  UNION ALL SELECT 'py.' || c || '_jsonl_v1', 'all', 'jsonl_blocks', 'raw_jsonl', c, 'research', 'not_implemented', 'python lab runner is planned', 'py-' || c, '' FROM (VALUES ('zstandard'), ('lz4'), ('lzma')) v(c)
+  UNION ALL SELECT short || '.' || kind || '_v1', s, short || '_' || form, transform, entropy, profile, 'not_implemented', short || ' ' || what || ' is planned', short || '-' || replace(kind, '_', '-'), '' FROM sh CROSS JOIN pl"""
+
 _PROM = " UNION ALL ".join(
     [f"SELECT 'tape_run_{n}' || labels || CAST({e} AS VARCHAR) AS line FROM lab" for n, e in (
         ("success", "CASE WHEN status = 'ok' THEN 1 ELSE 0 END"), ("input_bytes", "input_bytes"), ("output_bytes", "output_bytes"), ("lines_total", "k"), ("blocks_total", "k % 5"), ("encode_ns", "encode_ns"),
@@ -280,9 +297,9 @@ ORACLE = {
     "verify_records_exact": _q(_verified(), TRADES, _LT, _pairs("SELECT * FROM lt", "SELECT * FROM lt", _TF), _bytes("SELECT * FROM lt", "SELECT * FROM lt")),
     "verify_records_mutated": _q("SELECT session_id, line_no, field FROM cmp WHERE field IS NOT NULL", TRADES, _LT, _pairs("SELECT * FROM lt", f"SELECT session_id, seq, {_MUT} AS line FROM lt", _TF)),
     "verify_missing_extra": _q("SELECT session_id, field, count(*) AS n, min(line_no) AS first_line FROM cmp WHERE field IS NOT NULL GROUP BY ALL", BOOK, _LB, _pairs("SELECT * FROM lb", "SELECT * FROM lb WHERE seq % 97 <> 5 UNION ALL SELECT session_id, seq + 1000000, line FROM lb WHERE seq % 89 = 3", _BF)),
-    "pipeline_catalog": _values(catalog.rows(), catalog.COLUMNS),
-    "pipeline_availability": f"SELECT availability, count(*) AS n FROM ({_values(catalog.rows(), catalog.COLUMNS)}) GROUP BY availability",
-    "status_strings": "SELECT CAST(code AS BIGINT) AS code, status FROM (" + _values(list(enumerate(STATUSES)), ["code", "status"]) + ")",
+    "pipeline_catalog": _CATALOG,
+    "pipeline_availability": f"SELECT availability, count(*) AS n FROM ({_CATALOG}) GROUP BY availability",
+    "status_strings": "SELECT CAST(code - 1 AS BIGINT) AS code, status FROM (SELECT unnest(['ok', 'invalid_argument', 'io_error', 'unsupported_stream', 'unsupported_pipeline', 'dependency_unavailable', 'not_implemented', 'corrupt_data', 'decode_error', 'verification_failed', 'callback_stopped']) AS status, unnest(range(1, 12)) AS code)",
     "run_matrix_latest": _q("SELECT pipeline_id, stream, k AS run_no, status, input_bytes, output_bytes, round(ratio, 6) AS ratio, round(encode_mb_per_sec, 6) AS encode_mb_per_sec, round(decode_mb_per_sec, 6) AS decode_mb_per_sec FROM latest", _RUNS),
     "prometheus_lines": _q(_PROM, _RUNS, """lab AS (SELECT *, '{pipeline="' || pipeline_id || '",stream="' || stream || '"} ' AS labels FROM latest)"""),
     **{f"codec_roundtrip_{n}": _CODEC for n in ("zstd", "gzip", "xz", "bz2", "zlib", "raw")},
@@ -301,6 +318,27 @@ for _stream, (_source, _text, _name) in _TEXTS.items():
     ORACLE[f"stream_hashes_{_stream}"] = _hashes(_stream, _source, _text, _name, _FIELDS[_stream])
 _SHORT = "SELECT session_id, seq, line FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM lb) WHERE seq * 10 < n * 9"
 ORACLE["verify_modes"] = _q(" UNION ALL ".join(f"SELECT *, '{m}' AS mode FROM ({_verified(m)})" for m in ("byte", "record", "both")), BOOK, _LB, _pairs("SELECT * FROM lb", _SHORT, _BF), _bytes("SELECT * FROM lb", _SHORT))
+for _stream in _TEXTS:
+    ORACLE[f"artifact_files_{_stream}"] = ORACLE[f"artifact_roundtrip_{_stream}"]
+    ORACLE[f"container_roundtrip_{_stream}"] = ORACLE[f"artifact_roundtrip_{_stream}"]
+_INDEX = _q(f"SELECT session_id, block, min(greatest(s, block * {BLOCK})) AS first_byte_offset, {_sum(f'least(e, (block + 1) * {BLOCK}) - greatest(s, block * {BLOCK})')} AS uncompressed_bytes, {_sum(f'CASE WHEN (e - 1) // {BLOCK} = block THEN 1 ELSE 0 END')} AS line_count FROM bl GROUP BY session_id, block", TRADES, _LT, _LAY)
+ORACLE["container_block_index"] = f"SELECT session_id, 'trades' AS stream, 'zstd' AS codec, block, first_byte_offset, uncompressed_bytes, line_count FROM ({_INDEX}) WHERE block >= 1"
+ORACLE["container_files"] = f"SELECT session_id, {_sum('uncompressed_bytes')} AS input_bytes, CAST(64 + sum(uncompressed_bytes + 32) AS BIGINT) AS output_bytes, {_sum('line_count')} AS line_count, count(*) AS block_count, {_sum('uncompressed_bytes')} AS head_input_bytes, {_sum('line_count')} AS head_line_count, count(*) AS head_block_count FROM ({_INDEX}) GROUP BY session_id"
+ORACLE["container_replay"] = _q("SELECT session_id, seq // 4096 AS batch, count(*) AS record_count, min(seq) + 1 AS first_line_number, max(ts_ns) - min(ts_ns) AS span_ns FROM trades GROUP BY ALL", TRADES)
+ORACLE["text_files"] = _q("SELECT session_id, 'bookticker' AS stream, seq + 1 AS line_no, line FROM lb", BOOK, _LB)
+for _n in ("gzip", "bz2", "lzma", "zlib", "zstandard"):
+    ORACLE[f"lab_roundtrip_{_n}"] = _q(f"SELECT session_id, 'bookticker' AS stream, 'ok' AS status, true AS byte_exact, true AS record_exact, CAST(0 AS BIGINT) AS mismatch_bytes, {_sum('length(line) + 1')} AS input_bytes, count(*) AS record_count FROM lb GROUP BY session_id", BOOK, _LB)
+_PLAIN = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(p, chr(10), chr(13) || chr(10)) ELSE p END AS x FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', '', 'g') AS p FROM documents)"
+ORACLE["line_functions"] = f"""SELECT doc_id, CAST(len(string_split(x, chr(10))) - CASE WHEN x = '' OR ends_with(x, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
+  CASE WHEN contains(x, chr(10)) AND ends_with(string_split(x, chr(10))[1], chr(13)) THEN 'crlf' ELSE 'lf' END AS line_ending,
+  regexp_replace(substr(x, CAST(doc_id % 50 + 1 AS BIGINT), 32), '["\\\\]|[^\\x20-\\x7e]', '.', 'g') AS preview FROM ({_PLAIN})"""
+_LAST = "last AS (SELECT *, CASE WHEN output_bytes = 0 THEN 0.0 ELSE CAST(input_bytes AS DOUBLE) / output_bytes END AS ratio, CASE WHEN encode_ns = 0 THEN 0.0 ELSE (CAST(input_bytes AS DOUBLE) / 1048576.0::DOUBLE) / (encode_ns / 1e9) END AS encode_mb_per_sec, CASE WHEN decode_ns = 0 THEN 0.0 ELSE (CAST(input_bytes AS DOUBLE) / 1048576.0::DOUBLE) / (decode_ns / 1e9) END AS decode_mb_per_sec FROM runs ORDER BY k DESC LIMIT 1)"
+ORACLE["last_run_lines"] = _q(" UNION ALL ".join([f"SELECT 'tape_{n} ' || CAST({e} AS VARCHAR) AS line FROM last" for n, e in (
+    ("last_run_success", "CASE WHEN status = 'ok' THEN 1 ELSE 0 END"), ("input_bytes", "input_bytes"), ("output_bytes", "output_bytes"), ("lines_total", "k"), ("blocks_total", "k % 5"), ("encode_ns", "encode_ns"), ("decode_ns", "decode_ns"), ("encode_cycles", "k * 3"), ("decode_cycles", "k * 2"))]
+    + [f"SELECT 'tape_{c} ' || printf('%.6f', {c}) FROM last" for c in ("ratio", "encode_mb_per_sec", "decode_mb_per_sec")]), _RUNS, _LAST)
+ORACLE["inspect_stats_view_trades"] = f"SELECT session_id, 'tick.trades_grouped_delta_qtydict_math_v3' AS pipeline_id, record_count, chunk_count, encoded_bytes, dp_zero_count FROM ({ORACLE['trades_stats']})"
+ORACLE["inspect_stats_view_bookticker"] = f"SELECT session_id, 'tick.bookticker_delta_mask_v2' AS pipeline_id, record_count, encoded_bytes, raw_runtime_bytes FROM ({ORACLE['bookticker_stats']})"
+ORACLE["inspect_stats_view_depth"] = f"SELECT session_id, 'tick.depth_ladder_offset_v3' AS pipeline_id, batch_count, level_count AS total_level_count, encoded_bytes, delete_count FROM ({ORACLE['depth_stats']})"
 ORACLE["inspect_trades"] = f"SELECT session_id, record_count, chunk_count, time_groups, price_groups, qty_escapes FROM ({ORACLE['trades_stats']})"
 ORACLE["inspect_bookticker"] = f"SELECT session_id, record_count, encoded_bytes, mask_nonzero, time_bytes, mask_bytes, bid_bytes FROM ({ORACLE['bookticker_stats']})"
 ORACLE["inspect_depth"] = f"SELECT session_id, batch_count, level_count, encoded_bytes, delete_count, run_mode_batches, price_bytes FROM ({ORACLE['depth_stats']})"

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.sequence import chunked
 from ..functions.kernels import PROFILES
-from ..operators import artifacts, blocks, bookticker, catalog, depth, metrics, trades, verify
+from ..operators import artifacts, blocks, bookticker, catalog, depth, lab, metrics, trades, verify
 from ..schema import STATUSES
-from ..sources import derive, jsonl
+from ..sources import derive, files, jsonl
 from ..streaming import book as streamed
-from ..streaming.run import replay
+from ..streaming.run import replay, shared_folder
 
 BLOCK = 65_536
 
@@ -210,6 +210,107 @@ def stream_delta(s: SparkSession, d: str) -> DataFrame:
     return replay(_b(s, d), "seq", streamed.quote_deltas)
 
 
+def _root(s: SparkSession) -> str:
+    return shared_folder(s)
+
+
+def _containers(s: SparkSession, d: str, stream: str, codec: str) -> tuple[DataFrame, str]:
+    """Containers of a stream written below a new shared folder: a row for each, and the folder."""
+    root, row = _root(s), catalog.find(f"std.{codec}_jsonl_blocks_v1")
+    packed = blocks.compress_blocks(_lines(s, d, stream), codec, 3, BLOCK).drop("roundtrip_ok")
+    out = files.write_containers(packed, root, row["slug"], row["extension"], stream, blocks.CODECS[codec].wire_id, BLOCK)
+    done = s.createDataFrame(out.collect(), out.schema)  # a row for each file that was written
+    return done, root
+
+
+def _container(stream: str, codec: str):
+    """Canonical lines after a way through container files and the block source."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        _, root = _containers(s, d, stream, codec)
+        return files.lines_of_blocks(files.read_blocks(s, root))
+
+    return query
+
+
+def container_files(s: SparkSession, d: str) -> DataFrame:
+    """What the writer reports and what the headers say."""
+    done, _ = _containers(s, d, "trades", "raw")
+    heads = files.scan(s, done.first()["path"].split("/raw-jsonl/")[0], "*.hfr").select("session_id", "artifact")
+    head = artifacts.inspect(heads).select("session_id", *[F.get_json_object("header", f"$.{c}").cast("long").alias(f"head_{c}") for c in ("input_bytes", "line_count", "block_count")])
+    return done.select("session_id", "input_bytes", "output_bytes", "line_count", "block_count").join(head, "session_id")
+
+
+def container_block_index(s: SparkSession, d: str) -> DataFrame:
+    """The index of all blocks but each session's first; the filter reaches the source, payloads are not read."""
+    _, root = _containers(s, d, "trades", "zstd")
+    return files.read_blocks(s, root, payload=False).where("block >= 1").select("session_id", "stream", "codec", "block", "first_byte_offset", "uncompressed_bytes", "line_count")
+
+
+def container_replay(s: SparkSession, d: str) -> DataFrame:
+    """Record batches of containers that are streamed block by block, lines carried over block ends."""
+    done, _ = _containers(s, d, "trades", "gzip")
+    return files.replayed(done, "trades").select("session_id", "batch", "record_count", "first_line_number", (F.col("last_ts") - F.col("first_ts")).alias("span_ns"))
+
+
+def _artifact_files(stream: str):
+    """Canonical lines after transform artifacts were written as files and read back by Spark's binary scan."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        root, row = _root(s), next(r for r in map(dict, (zip(catalog.COLUMNS, x) for x in catalog.rows())) if r["stream_scope"] == stream and r["entropy"] == "none" and r["extension"])
+        files.write_artifacts(artifacts.encode(_lines(s, d, stream), stream), root, row["slug"], row["extension"], stream).collect()
+        return artifacts.decode_lines(files.scan(s, f"{root}/{row['slug']}", "*.cxcef"))
+
+    return query
+
+
+def _text_files(s: SparkSession, d: str, stream: str) -> str:
+    root = _root(s)
+    files.write_text(_lines(s, d, stream), root, stream).collect()
+    return root
+
+
+def text_files(s: SparkSession, d: str) -> DataFrame:
+    """Canonical files written and read again: session and stream from the path, line numbers from the reader."""
+    rows = jsonl.numbered(jsonl.read_lines(s, _text_files(s, d, "bookticker") + "/*/*.jsonl"))
+    return rows.select("session_id", "stream", "line_no", F.col("value").alias("line"))
+
+
+def _lab(codec_id: str):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        root = _text_files(s, d, "bookticker")
+        out = lab.compress_files(s, root, f"{root}/lab", codec_id)
+        back = lab.verify_files(s, f"{root}/lab", root, codec_id) if out.count() else None
+        return back.select("session_id", "stream", "status", "byte_exact", "record_exact", "mismatch_bytes").join(out.select("session_id", "input_bytes", "record_count"), "session_id")
+
+    return query
+
+
+def line_functions(s: SparkSession, d: str) -> DataFrame:
+    """Line counts, line endings and previews of whole documents (their ASCII part) and of text with other line ends."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f]", "")
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace(plain, F.lit("\n"), F.lit("\r\n"))).otherwise(plain)
+    rows = docs.select("doc_id", text.alias("x"))
+    return rows.select("doc_id", S.line_count(F.col("x")).alias("line_count"), S.line_ending(F.col("x")).alias("line_ending"), S.preview(F.col("x"), F.col("doc_id") % 50).alias("preview"))
+
+
+def last_run_lines(s: SparkSession, d: str) -> DataFrame:
+    return metrics.last_run(_runs(s, d))
+
+
+def _stats_view(stream: str):
+    """Fields of the statistics view, by pipeline id."""
+    ids = {"trades": "tick.trades_grouped_delta_qtydict_math_v3", "bookticker": "tick.bookticker_delta_mask_v2", "depth": "tick.depth_ladder_offset_v3"}
+    fields = {"trades": ["record_count", "chunk_count", "encoded_bytes", "dp_zero_count"], "bookticker": ["record_count", "encoded_bytes", "raw_runtime_bytes"], "depth": ["batch_count", "total_level_count", "encoded_bytes", "delete_count"]}[stream]
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        shown = artifacts.views(artifacts.encode(_lines(s, d, stream), stream), "stats", ids[stream])
+        return shown.select("session_id", F.get_json_object("view", "$.pipeline_id").alias("pipeline_id"), *[F.get_json_object("view", f"$.{f}").cast("long").alias(f) for f in fields])
+
+    return query
+
+
 def _named(name: str, f) -> tuple:
     return name, f
 
@@ -248,6 +349,11 @@ QUERIES = dict([
     )],
     *[(f"stream_hashes_{x}", _hashes(x)) for x in ("trades", "bookticker", "depth")], *[(f"verify_bytes_{x}", _verify_bytes(x)) for x in ("trades", "bookticker", "depth")],
     ("stream_book", stream_book), ("stream_delta", stream_delta),
+    *[(f"container_roundtrip_{x}", _container(x, c)) for x, c in (("trades", "zstd"), ("bookticker", "xz"), ("depth", "raw"))],
+    *[(f.__name__, f) for f in (container_files, container_block_index, container_replay, text_files, line_functions, last_run_lines)],
+    *[(f"artifact_files_{x}", _artifact_files(x)) for x in ("trades", "bookticker", "depth")],
+    *[(f"lab_roundtrip_{n}", _lab(f"py.{n}_v1")) for n in ("gzip", "bz2", "lzma", "zlib", "zstandard")],
+    *[(f"inspect_stats_view_{x}", _stats_view(x)) for x in ("trades", "bookticker", "depth")],
     *[(f"artifact_roundtrip_{x}", _artifact(x)) for x in ("trades", "bookticker", "depth")],
     *[(f"inspect_{x}", _inspect(x)) for x in ("trades", "bookticker", "depth")],
     *[(f"entropy_roundtrip_{p}_{x}", _entropy(x, p)) for x in ("trades", "bookticker", "depth") for p in PROFILES],

@@ -37,6 +37,22 @@ def _scale(values) -> int:
 # ---- block containers ------------------------------------------------------------------------------------------
 
 
+def container_head(codec_id: int, stream_id: int, block_bytes: int, input_bytes: int, output_bytes: int, lines: int, blocks: int) -> bytes:
+    """The 64 bytes ahead of the blocks, with their own checksum; codec 0 is the raw layout."""
+    totals = (input_bytes, output_bytes, lines, blocks)
+    if codec_id == 0:
+        head = lambda crc: struct.pack("<I2HI4QI", RAW, 1, stream_id, block_bytes, *totals, crc).ljust(64, b"\0")
+    else:
+        head = lambda crc: struct.pack("<I4HI4QI", CONTAINER, 2, codec_id, stream_id, 0, block_bytes, *totals, crc).ljust(64, b"\0")
+    return head(K.crc32c(head(0)))
+
+
+def block_head(raw: bool, size: int, packed: int, lines: int, offset: int, crc: int, packed_crc: int) -> bytes:
+    if raw:
+        return struct.pack("<4IQ2I", RAW_BLOCK, size, lines, 0, offset, crc, 0)
+    return struct.pack("<4I2Q", BLOCK, size, packed, lines, offset, packed_crc | crc << 32)
+
+
 def write_container(text: bytes, stream: str, name: str, level: int = 3, block_bytes: int = 1 << 20) -> bytes:
     """A container of independent blocks; ``raw`` has its own layout."""
     spec, size = codec(name), max(block_bytes, LEAST_BLOCK_BYTES)
@@ -45,25 +61,15 @@ def write_container(text: bytes, stream: str, name: str, level: int = 3, block_b
     for at in range(0, len(text), size):
         raw = text[at : at + size]
         lines = raw.count(b"\n") + (at + size >= len(text) and not raw.endswith(b"\n"))
-        if name == "raw":
-            body += struct.pack("<4IQ2I", RAW_BLOCK, len(raw), lines, 0, at, K.crc32c(raw), 0) + raw
-        else:
-            packed = spec.compress(raw, spec.level(level))
-            body += struct.pack("<4I2Q", BLOCK, len(raw), len(packed), lines, at, K.crc32c(packed) | K.crc32c(raw) << 32) + packed
+        packed = spec.compress(raw, spec.level(level))
+        body += block_head(name == "raw", len(raw), len(packed), lines, at, K.crc32c(raw), K.crc32c(packed)) + packed
         count += 1
     lines = text.count(b"\n") + (bool(text) and not text.endswith(b"\n"))
-    totals = (len(text), 64 + len(body), lines, count)
-    if name == "raw":
-        head = lambda crc: struct.pack("<I2HI4QI", RAW, 1, STREAM_ID[stream], size, *totals, crc).ljust(64, b"\0")
-    else:
-        head = lambda crc: struct.pack("<I4HI4QI", CONTAINER, 2, spec.wire_id, STREAM_ID[stream], 0, size, *totals, crc).ljust(64, b"\0")
-    return head(K.crc32c(head(0))) + bytes(body)
+    return container_head(spec.wire_id, STREAM_ID[stream], size, len(text), 64 + len(body), lines, count) + bytes(body)
 
 
-def read_index(data: bytes) -> dict:
-    """Header and block index of a container, fully checked but not decompressed. Version 1 has no checksums."""
-    if len(data) < 64:
-        raise corrupt("short header")
+def read_head(data: bytes) -> dict:
+    """The checked header of a container. Version 1 has no checksums."""
     magic = struct.unpack_from("<I", data)[0]
     if magic == RAW:
         _, version, stream, size, *totals, crc = struct.unpack_from("<I2HI4QI", data)
@@ -78,41 +84,55 @@ def read_index(data: bytes) -> dict:
         raise corrupt("magic")
     if checked and K.crc32c(data[:at_crc] + b"\0\0\0\0" + data[at_crc + 4 : 64]) != crc:
         raise corrupt("header checksum")
-    at, blocks, first = 64, [], 0
-    while at < len(data):
-        if at + 32 > len(data):
-            raise corrupt("block header")
-        if magic == RAW:
-            m, raw, lines, _, offset, crc_raw, _ = struct.unpack_from("<4IQ2I", data, at)
-            packed, crcs = raw, (crc_raw, crc_raw)
-        else:
-            m, raw, packed, lines, offset, both = struct.unpack_from("<4I2Q", data, at)
-            crcs = (both & 0xFFFFFFFF, both >> 32)
-        if m != (RAW_BLOCK if magic == RAW else BLOCK) or offset != first or raw > size or at + 32 + packed > len(data):
-            raise corrupt("block")
-        blocks.append({"block": len(blocks), "file_offset": at + 32, "first_byte_offset": offset, "uncompressed_bytes": raw, "compressed_bytes": packed, "line_count": lines, "compressed_crc": crcs[0], "uncompressed_crc": crcs[1]})
-        first += raw
-        at += 32 + packed
-    if first != totals[0] or len(blocks) != totals[3] or (checked and totals[1] != len(data)):
-        raise corrupt("totals")
-    return {"codec": name, "version": version, "stream": stream, "block_bytes": size, "input_bytes": totals[0], "line_count": totals[2], "checked": checked, "blocks": blocks}
+    if stream not in STREAM_ID.values():
+        raise corrupt("stream id")
+    return {"codec": name, "version": version, "stream": stream, "block_bytes": size, "input_bytes": totals[0], "output_bytes": totals[1], "line_count": totals[2], "block_count": totals[3], "checked": checked}
 
 
-def read_block(data: bytes, index: dict, b: dict) -> bytes:
-    packed = data[b["file_offset"] : b["file_offset"] + b["compressed_bytes"]]
-    if index["checked"] and K.crc32c(packed) != b["compressed_crc"]:
+def read_block_head(data: bytes, top: dict) -> dict:
+    """Sizes, position and checksums of a block; its magic and its size against the container's are checked."""
+    if top["codec"] == "raw":
+        m, raw, lines, _, offset, crc_raw, _ = struct.unpack("<4IQ2I", data)
+        packed, crcs, magic = raw, (crc_raw, crc_raw), RAW_BLOCK
+    else:
+        m, raw, packed, lines, offset, both = struct.unpack("<4I2Q", data)
+        crcs, magic = (both & 0xFFFFFFFF, both >> 32), BLOCK
+    if m != magic or raw > top["block_bytes"]:
+        raise corrupt("block")
+    return {"first_byte_offset": offset, "uncompressed_bytes": raw, "compressed_bytes": packed, "line_count": lines, "compressed_crc": crcs[0], "uncompressed_crc": crcs[1]}
+
+
+def open_block(packed: bytes, top: dict, b: dict) -> bytes:
+    """The text of a block, checked before and after decompression."""
+    if top["checked"] and K.crc32c(packed) != b["compressed_crc"]:
         raise corrupt("payload checksum")
     try:
-        raw = codec(index["codec"]).decompress(packed)
+        raw = codec(top["codec"]).decompress(packed)
     except TapeError:
         raise
     except Exception as e:
         raise TapeError("decode_error", str(e)) from e
-    if len(raw) != b["uncompressed_bytes"] or (index["checked"] and K.crc32c(raw) != b["uncompressed_crc"]):
+    if len(raw) != b["uncompressed_bytes"] or (top["checked"] and K.crc32c(raw) != b["uncompressed_crc"]):
         raise corrupt("block checksum")
     return raw
 
 
+def read_index(data: bytes) -> dict:
+    """Header and block index of a container, fully checked but not decompressed."""
+    import pyarrow as pa
+
+    from .files import block_headers
+
+    if len(data) < 64:
+        raise corrupt("short header")
+    blocks = [b for _, b in block_headers(pa.BufferReader(data), len(data))]
+    return {k: v for k, v in read_head(data).items() if k not in ("output_bytes", "block_count")} | {"blocks": blocks}
+
+
+def read_block(data: bytes, index: dict, b: dict) -> bytes:
+    return open_block(data[b["file_offset"] : b["file_offset"] + b["compressed_bytes"]], index, b)
+
+
 def read_container(data: bytes) -> bytes:
     index = read_index(data)
     return b"".join(read_block(data, index, b) for b in index["blocks"])
@@ -181,14 +201,26 @@ def write_trades(rows: list[tuple], crlf: bool = False, input_bytes: int = 0) ->
     """Rows of (price, qty, side, ts) in order of time."""
     if not rows or any(p <= 0 or q <= 0 or s not in (0, 1) for p, q, s, _ in rows) or any(a[3] > b[3] for a, b in zip(rows, rows[1:])):
         raise corrupt("trades")
-    body, totals, chunks = bytearray(), [0, 0, 0], 0
-    for at in range(0, len(rows), CHUNK_RECORDS):
-        chunk, counts = _write_chunk(rows[at : at + CHUNK_RECORDS])
-        body += chunk
-        totals = [a + b for a, b in zip(totals, counts)]
-        chunks += 1
-    head = lambda crc: _TRADES.pack(TRADES, 3, 0, 2 if crlf else 1, 0, CHUNK_RECORDS, input_bytes, 96 + len(body), len(rows), chunks, *totals, crc).ljust(96, b"\0")
-    return head(K.crc32c(head(0))) + bytes(body)
+    return trades_artifact([_write_chunk(rows[at : at + CHUNK_RECORDS]) for at in range(0, len(rows), CHUNK_RECORDS)], len(rows), crlf, input_bytes)
+
+
+def encode_chunk(rows: list[tuple]) -> tuple[bytes, tuple]:
+    """One chunk of trades and its counts of time groups, price groups and escapes; order and signs are checked."""
+    if not rows or any(p <= 0 or q <= 0 or s not in (0, 1) for p, q, s, _ in rows) or any(a[3] > b[3] for a, b in zip(rows, rows[1:])):
+        raise corrupt("trades")
+    return _write_chunk(rows)
+
+
+def decode_chunk(part: bytes) -> list[tuple]:
+    return _read_chunk(_CHUNK.unpack_from(part), part[160:])
+
+
+def trades_artifact(parts: list[tuple[bytes, tuple]], records: int, crlf: bool, input_bytes: int) -> bytes:
+    """The artifact of encoded chunks in order."""
+    body, chunks = b"".join(p for p, _ in parts), len(parts)
+    totals = [sum(c[i] for _, c in parts) for i in range(3)]
+    head = lambda crc: _TRADES.pack(TRADES, 3, 0, 2 if crlf else 1, 0, CHUNK_RECORDS, input_bytes, 96 + len(body), records, chunks, *totals, crc).ljust(96, b"\0")
+    return head(K.crc32c(head(0))) + body
 
 
 def _read_chunk(h: tuple, payload: bytes) -> list[tuple]:
@@ -508,18 +540,20 @@ def compress(text: bytes, stream: str, profile: str | None = None) -> bytes:
     crlf = b"\r\n" in text[: text.find(b"\n") + 1]
     rows = parse_text(text, stream)
     base = write_trades(rows, crlf, len(text)) if stream == "trades" else WRITERS[stream](rows, len(text))
-    if profile is None:
-        data = base
-    else:
-        payload = K.arithmetic_encode(base, profile)
-        kind = list(K.PROFILES).index(profile) + 1
-        head = lambda crc: _ENVELOPE.pack(ENVELOPE, 1, kind, STREAM_ID[stream] + 1, STREAM_ID[stream], crc, len(text), len(base), 128 + len(payload), len(rows), len(payload), K.crc32c(payload), K.crc32c(base)).ljust(128, b"\0")
-        data = head(K.crc32c(head(0))) + payload
+    data = base if profile is None else envelope(base, stream, profile, len(text), len(rows))
     if decompress(data) != text:
         raise TapeError("decode_error", "roundtrip check failed")
     return data
 
 
+def envelope(base: bytes, stream: str, profile: str, input_bytes: int, lines: int) -> bytes:
+    """An artifact inside an entropy envelope."""
+    payload = K.arithmetic_encode(base, profile)
+    kind = list(K.PROFILES).index(profile) + 1
+    head = lambda crc: _ENVELOPE.pack(ENVELOPE, 1, kind, STREAM_ID[stream] + 1, STREAM_ID[stream], crc, input_bytes, len(base), 128 + len(payload), lines, len(payload), K.crc32c(payload), K.crc32c(base)).ljust(128, b"\0")
+    return head(K.crc32c(head(0))) + payload
+
+
 def open_envelope(data: bytes) -> bytes:
     h = _ENVELOPE.unpack_from(data) if len(data) >= 128 else corrupt_short()
     payload = data[128:]

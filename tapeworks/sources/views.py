@@ -11,12 +11,14 @@ import struct
 from itertools import groupby
 
 from ..functions import kernels as K
+from ..functions.kernels import PROFILES
 from ..operators.depth import Book
 from ..schema import TapeError
 from . import artifacts as A
 
 CANONICAL = ("canonical-json", "canonical-jsonl")
 VIEWS = (*CANONICAL, "encoded-json", "encoded-binary", "stats")
+#: Field names of the views below are fixed values of the formats.
 #: Depth batches that the encoded view shows.
 SHOWN_BATCHES = 128
 _STREAMS = {
@@ -86,7 +88,7 @@ def trades_stats(data: bytes) -> dict:
     total = lambda i: sum(x[0][i] for x in each)
     size = {f"{k}_bytes" if k == "hot_qty_table" else f"{k}_stream_bytes": sum(x[2][k] for x in each) for k in _STREAMS["trades"]}
     return {
-        "pipeline_id": "hftmac.trades_grouped_delta_qtydict_v1", "version": h[1], "record_count": h[8], "chunk_count": h[9], "input_bytes": h[6], "encoded_bytes": h[7],
+        "pipeline_id": "tick.trades_grouped_delta_qtydict_math_v3", "version": h[1], "record_count": h[8], "chunk_count": h[9], "input_bytes": h[6], "encoded_bytes": h[7],
         "bytes_per_trade": _ratio(h[7], h[8]), "timestamp_group_count": h[10], "price_group_count": h[11], "qty_escape_count": h[12],
         "dp_zero_count": total(25), "count_one_count": total(26), "price_group_count_one_count": total(27),
         "first_chunk_price_scale": first[11], "first_chunk_qty_scale": first[12], "first_chunk_time_scale": first[13], "first_chunk_hot_qty_bits": first[15], **size,
@@ -107,7 +109,7 @@ def book_json(data: bytes) -> dict:
         updates.append({"dt": dt, "mask": mask, "d": dict(zip(("bid", "spread", "bid_qty", "ask_qty"), d)), "state": list(row)})
     bid, bid_qty, ask, ask_qty, t = rows[0]
     base = {"ts": t, "bid": bid, "spread": ask - bid, "bid_qty": bid_qty, "ask_qty": ask_qty}
-    return {"pipeline_id": f"hftmac.bookticker_delta_mask_v{h[1]}", "record_count": h[5], "base_state": base, "updates": updates}
+    return {"pipeline_id": f"tick.bookticker_delta_mask_v{h[1]}", "record_count": h[5], "base_state": base, "updates": updates}
 
 
 def book_binary(data: bytes) -> str:
@@ -121,7 +123,7 @@ def book_stats(data: bytes) -> dict:
     A.read_book(data)
     h = A._BOOK.unpack_from(data)
     return {
-        "pipeline_id": "hftmac.bookticker_delta_mask_v1", "version": h[1], "record_count": h[5], "raw_runtime_bytes": 40 * h[5], "encoded_bytes": h[4], "bytes_per_record": _ratio(h[4], h[5]),
+        "pipeline_id": f"tick.bookticker_delta_mask_v{h[1]}", "version": h[1], "record_count": h[5], "raw_runtime_bytes": 40 * h[5], "encoded_bytes": h[4], "bytes_per_record": _ratio(h[4], h[5]),
         **dict(zip(("mask_nonzero_count", "bid_changed_count", "spread_changed_count", "bid_qty_changed_count", "ask_qty_changed_count"), h[20:25])),
         **{f"{k}_stream_bytes": n for k, n in zip(_STREAMS["bookticker"], h[14:20])},
     }
@@ -147,7 +149,7 @@ def depth_json(data: bytes) -> dict:
         A.read_depth_v1(data)
         h = A._DEPTH_V1.unpack_from(data)
         heads = _heads(data, 160 + h[19], h[12], h[5], False)
-        return {"pipeline_id": "hftmac.depth_ladder_offset_v1", "batch_count": h[5], "batches": [{"dt": dt, "level_count": n} for dt, n, _ in heads]}
+        return {"pipeline_id": "tick.depth_ladder_offset_v1", "batch_count": h[5], "batches": [{"dt": dt, "level_count": n} for dt, n, _ in heads]}
     rows, h = A.read_depth(data), A._DEPTH.unpack_from(data)
     table = list(struct.unpack_from(f"<{h[11]}q", data, 176))
     ps, qs = h[8], h[9]
@@ -163,7 +165,7 @@ def depth_json(data: bytes) -> dict:
         best = [best[s] if book.best(s) is None else book.best(s) for s in (0, 1)]
     cut = h[5] > SHOWN_BATCHES
     more = {"truncated": True, "shown_batches": SHOWN_BATCHES} if cut else {"truncated": False}
-    return {"pipeline_id": "hftmac.depth_ladder_offset_v3", "version": h[1], "batch_count": h[5], "hot_qty": {"bid": table[: h[2]], "ask": table[h[2] :]}, "batches": batches, **more}
+    return {"pipeline_id": "tick.depth_ladder_offset_v3", "version": h[1], "batch_count": h[5], "hot_qty": {"bid": table[: h[2]], "ask": table[h[2] :]}, "batches": batches, **more}
 
 
 def depth_binary(data: bytes) -> str:
@@ -189,7 +191,7 @@ def depth_stats(data: bytes) -> dict:
     else:
         counts = dict(zip(("delete_count", "qty_escape_count", "run_mode_batch_count", "fallback_batch_count", "offset_price_count", "absolute_price_count"), h[20:26]))
     return {
-        "pipeline_id": f"hftmac.depth_ladder_offset_v{1 if one else 3}", "version": h[1], "batch_count": h[5], "total_level_count": h[6],
+        "pipeline_id": f"tick.depth_ladder_offset_v{1 if one else 3}", "version": h[1], "batch_count": h[5], "total_level_count": h[6],
         "raw_runtime_bytes": 8 * h[5] + 32 * h[6], "encoded_bytes": h[4], "bytes_per_level": _ratio(h[4], h[6]), **counts, **sizes,
     }
 
@@ -209,9 +211,27 @@ def _envelope(data: bytes, kind: str) -> str:
     A.open_envelope(data)
     x = A.inspect(data)
     if kind == "encoded-binary":
-        return f"entropy_hftmac bytes={x['output_bytes']} base_bytes={x['base_bytes']} payload={x['payload_bytes']} entropy={x['entropy']} stream={x['stream']}\n"
+        return f"entropy_tick bytes={x['output_bytes']} base_bytes={x['base_bytes']} payload={x['payload_bytes']} entropy={x['entropy']} stream={x['stream']}\n"
     names = ("stream", "entropy", "input_bytes", "base_bytes", "payload_bytes", "output_bytes")
-    return json.dumps({"pipeline_family": "entropy_hftmac", "version": 1, **{k: x[k] for k in names}})
+    return json.dumps({"pipeline_family": "entropy_tick", "version": 1, **{k: x[k] for k in names}})
+
+
+#: Ids that name an artifact, by how they start; older versions are read although no pipeline writes them.
+_IDS = {"tick.trades_grouped_delta_qtydict_": "trades", "tick.bookticker_delta_mask_": "bookticker", "tick.depth_ladder_offset_": "depth"}
+
+
+def view_of(data: bytes, pipeline_id: str, kind: str) -> str:
+    """Text of a view by pipeline id; an id that does not fit the artifact is corrupt data, one without views not implemented."""
+    if not pipeline_id or not kind:
+        raise TapeError("invalid_argument", "pipeline id and view are needed")
+    stream = next((s for start, s in _IDS.items() if pipeline_id.startswith(start)), None)
+    if stream is None or kind not in VIEWS:
+        raise TapeError("not_implemented", f"{pipeline_id} {kind}")
+    magic = struct.unpack_from("<I", data)[0] if len(data) >= 4 else 0
+    coded = any(f"_{p}_" in pipeline_id for p in PROFILES)
+    if coded != (magic == A.ENVELOPE) or (A.inspect(data)["stream"] if coded else A.stream_of(data)) not in (stream, A.STREAM_ID[stream]):
+        raise TapeError("corrupt_data", "the artifact is of another pipeline")
+    return view(data, kind)
 
 
 def view(data: bytes, kind: str) -> str:

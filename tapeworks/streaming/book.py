@@ -20,7 +20,8 @@ def _book(key, frames, state):
     for side, price, qty in levels:
         book.apply(side, price, qty)
     pdf = pd.concat(list(frames)).sort_values(["batch", "pos"], kind="stable")
-    if len(pdf) and pdf["ts_ns"].iloc[0] < last:
+    times = pdf["ts_ns"].to_numpy()
+    if len(times) and (times[0] < last or (times[1:] < times[:-1]).any()):
         raise TapeError("corrupt_data", "late batch")
     out, at = [], None
     for batch, side, price, qty in zip(pdf["batch"].tolist(), pdf["side"].tolist(), pdf["price_e8"].tolist(), pdf["qty_e8"].tolist()):
