@@ -87,13 +87,12 @@ COMMON = set("a an and any are as be by can do for from get in into is it may me
 
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-][\w.-]*)?$"
 _TERM = r"[^\p{L}\p{N}.+-]+"
-_DOTS = r"(^[.+-]+|[.+-]+$)"
 
 
 def terms(text):
     """Lower-cased terms; letters, digits and inner dots, plus or minus signs."""
     raw = F.split(F.lower(text), _TERM)
-    return F.array_remove(F.transform(raw, lambda x: F.regexp_replace(x, _DOTS, "")), "")
+    return F.array_remove(F.transform(raw, lambda x: F.btrim(x, F.lit(".+-"))), "")
 
 
 def py_terms(text: str) -> list[str]:
@@ -151,16 +150,18 @@ def own_licences(files: DataFrame, uid: str, templates: Templates) -> DataFrame:
         vectors.setdefault(i, []).append((w, x * x))
     places = spark.createDataFrame([(*p, vectors[p[1]]) for p in templates.places], "anchor string, template int, license string, place int, terms int, vector array<struct<term:string,square:double>>")
 
-    found = files.where(F.col("text").rlike(templates.pattern())).select(F.col(uid).alias("uid"), F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE).alias("whole"), terms(F.col("text")).alias("all"))
+    named = files.select(F.col(uid).alias("uid"), F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE).alias("whole"), "text")
     anchors = sorted(templates.anchors)
-    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get(F.col("all"), i).isin(anchors))
-    laid = found.where("size(all) > 0").select("uid", "all", F.explode(at).alias("at")).withColumn("anchor", F.get("all", "at")).join(F.broadcast(places), "anchor")
+    found = named.where(F.col("text").rlike(templates.pattern())).select("uid", terms(F.col("text")).alias("all"))
+    # One look at each term; a filter on the array would have the text split again.
+    at = F.filter(F.transform("all", lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
+    laid = found.select("uid", "all", F.explode(at).alias("at")).withColumn("anchor", F.get("all", "at")).join(F.broadcast(places), "anchor")
     laid = laid.withColumn("at", F.col("at") - F.col("place"))
     start = F.greatest("at", F.lit(0))
     windows = laid.select("uid", "template", "vector", "at", F.slice("all", start + 1, F.col("at") + F.col("terms") - start).alias("window"))
     held = F.aggregate("vector", F.lit(0.0), lambda a, v: a + F.when(F.array_contains(F.col("window"), v["term"]), v["square"]).otherwise(0.0))
     windows = windows.where(held >= least).select("uid", "template", "at", "window").distinct()
-    files_whole = found.where("whole").select("uid", F.lit(None).cast("int").alias("template"), F.lit(0).alias("at"), F.col("all").alias("window"))
+    files_whole = named.where("whole").where(F.col("text").rlike(templates.pattern())).withColumn("all", terms(F.col("text"))).select("uid", F.lit(None).cast("int").alias("template"), F.lit(0).alias("at"), F.col("all").alias("window"))
     segments = windows.unionByName(files_whole)
 
     by = ["uid", "template", "at"]
