@@ -237,7 +237,7 @@ def _named(links: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("root").alias("fp"), "root").distinct()).withColumnRenamed("fp", "node")
 
 
-def classes(docs: DataFrame, uid: str, nodes: DataFrame, width: int, similarity: float, radius: int = RADIUS, cell: int = 2048, cell_shingles: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, uid: str, nodes: DataFrame, width: int, similarity: float, radius: int = RADIUS, cell: int = 512, cell_shingles: int = 500_000) -> DataFrame:
     """(node, root) of the nodes of ``nodes(node, size, print, bands)`` in a class of two or more; a node is the uid of its first row."""
     keyed = nodes.select("node", "print", F.posexplode("bands").alias("k", "m"))
     buckets = keyed.groupBy("k", "m").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
