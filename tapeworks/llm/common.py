@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,10 +31,31 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends at a table that survives lost executors."""
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables saved inside are deleted at the end, for steps whose result is written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def save(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends at a table that survives lost executors.
+
+    It is deleted with the innermost scope, or with the one around that if it is to ``outlive`` it; else never.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    around = _SCOPES[: -1 if outlive else None]
+    if around:
+        around[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -265,7 +265,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, **how) ->
     # The first row of equal sets is the node; other rows of the set go whatever its class.
     nodes = marked.groupBy("high", "low").agg(F.min(place).alias("first"), *[F.min(c).alias(c) for c in ("size", "print", "bands")])
     nodes = common.save(nodes.select(F.col("first.uid").alias("node"), "first", "size", "print", "bands"), "nodes")
-    roots = common.save(classes(own, uid, nodes, width, similarity, **how), "roots")
+    with common.scope(docs.sparkSession):
+        roots = common.save(classes(own, uid, nodes, width, similarity, **how), "roots", outlive=True)
     joined = nodes.select("node", "first").join(roots, "node", "left")
     alone = joined.where("root is null").select("first")
     top = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first")

@@ -579,3 +579,71 @@ def test_decontamination_brute(spark):
     for how in ({"block_seeds": 200}, {"segment": 40, "block_seeds": 500}):
         some = {(r.doc_id, r.item_id): r.window_matched for r in decontamination.contaminated(docs, bench, **how).collect()}
         assert some == {k: v[0] for k, v in want.items()}, how
+
+
+def plain_near_copies(texts, similarity=0.8):
+    """The smallest id of each class of texts whose five-word shingles overlap enough, by all pairs."""
+    def shingled(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    order = sorted(texts)
+    sets, root = [shingled(texts[d]) for d in order], list(range(len(order)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= similarity * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return {order[r] for r in set(root)}
+
+
+def test_pipeline(spark):
+    """All five stages in plain Python, each on what the one before kept."""
+    sf = "/root/testdata/sf0.01"  # large enough that the toxicity model has words
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    texts = docs_of(sf)
+    model = toxicity.train(docs, labels)
+    letters = lambda t: set(re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())))
+    score = lambda t: 1 / (1 + np.exp(-(model.bias + sum(w for x, w in model.weights.items() if x in letters(t)))))
+    assert model.weights
+    clean = {d: t for d, t in texts.items() if score(t) < 0.3}
+    kept = plain_near_copies(clean)
+    unique = {d: t for d, t in clean.items() if d in kept}
+    items = dict(duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall())
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    sets, seen = {d: set(words(t)) for d, t in unique.items()}, set()
+    for i, item in items.items():
+        b = words(item)
+        w = min(20, len(b))
+        # What agrees in a window of the item stands in the text.
+        near = [d for d, known in sets.items() if max((sum(x in known for x in b[s : s + w]) for s in range(len(b) - w + 1)), default=0) >= 0.8 * w]
+        seen |= {d for d, _ in brute_overlaps({d: unique[d] for d in near}, {i: item})}
+    masker = pii.Masker(PII_KEY)
+    final = {d: masker.mask(t)[0] for d, t in unique.items() if d not in seen}
+    assert 0 < len(final) < len(unique) < len(clean) < len(texts) and any(final[d] != texts[d] for d in final)
+
+    model = Tokenizer.from_file(tokenizer_path())
+    ids = {d: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for d, t in final.items()}
+    at, length = 0, collections.Counter()
+    for r in sorted(cp.run(spark, sf).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert r.sequence_id * 2048 + r.offset == at and zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        at += r.length
+        length[r.doc_id] += r.length
+    assert length == {d: len(x) for d, x in ids.items()}
+
+
+def test_scopes_delete_what_they_saved(spark):
+    import glob
+
+    from tapeworks.llm import common
+
+    root = common.checkpoint_root(spark)
+    with common.scope(spark):
+        with common.scope(spark):
+            common.save(spark.range(3), "inner")
+            out = common.save(spark.range(4), "outer", outlive=True)
+        assert not glob.glob(f"{root}/inner-*") and out.count() == 4
+    assert not glob.glob(f"{root}/outer-*")
