@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``: clean, deduplicate, decontaminate, pseudonymise, pack.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a DataFrame; all but the
-last return the columns of docs. ``run`` writes each stage to the shared folder and reads it again.
+last return the columns of docs. ``run`` writes each stage to the shared folder and reads it again; what a stage saved on its way is deleted then.
 Null and empty texts, repeated rows and extra columns are handled as the operators' docstrings state.
 """
 
@@ -47,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.save(stage(spark, docs, sf_dir), name)
+        with common.scope(spark):
+            docs = common.save(stage(spark, docs, sf_dir), name, outlive=True)
     return STAGES[-1][1](spark, docs, sf_dir)
