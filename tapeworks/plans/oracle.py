@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.kernels import PROFILES
-from .queries import BLOCK
+from .queries import BLOCK, PIPELINE_RUNS
 
 TRADES = """trades AS MATERIALIZED (
   SELECT CAST(year(l_shipdate) AS VARCHAR) AS session_id,
@@ -241,11 +241,15 @@ _DIRTY = [
     ("bookticker", "[100,10,110,20,1000]", 1, 1), ("bookticker", "[100,10,110,20]", 0, 0), ("bookticker", "[100,-10,110,20,1000]", 1, 1),
     ("depth", "[[100,10,0],[110,20,1],1000]", 1, 1), ("depth", "[123]", 0, 1), ("depth", "[]", 0, 0), ("depth", "[[100,10,2],1000]", 0, 0), ("depth", "[[[100,1,0,0]],[[101,2,1,0]],123]", 0, 0), ("depth", "[[100,10],1000]", 0, 0), ("depth", "[[100,0,0], [99,7,0],\t1002]", 1, 1),
 ]
-_STRICT = "SELECT CAST(id AS BIGINT) AS id, stream, line, strict_ok = 1 AS strict_ok, zstd_ok = 1 AS zstd_ok FROM (" + _values([(i, *r) for i, r in enumerate(_DIRTY)], ["id", "stream", "line", "strict_ok", "zstd_ok"]) + ")"
+_LD = "ld AS (SELECT session_id, batch AS seq, '[' || string_agg('[' || price_e8 || ',' || qty_e8 || ',' || side || ']', ',' ORDER BY pos) || ',' || min(ts_ns) || ']' AS line FROM levels GROUP BY session_id, batch)"
+_ALL = [TRADES, _LT, BOOK, _LB, LEVELS, _LD]
+# Every canonical line is valid by construction; what the dirty ones are is written beside them.
+_STRICT = _q("SELECT 'dirty' AS origin, CAST(id AS BIGINT) AS id, stream, line, strict_ok = 1 AS strict_ok, zstd_ok = 1 AS zstd_ok FROM (" + _values([(i, *r) for i, r in enumerate(_DIRTY)], ["id", "stream", "line", "strict_ok", "zstd_ok"]) + ")"
+             + "".join(f" UNION ALL SELECT session_id, seq, '{x}', line, true, true FROM {t}" for x, t in (("trades", "lt"), ("bookticker", "lb"), ("depth", "ld"))), *_ALL)
 
 _LAY = f"""ly AS (SELECT session_id, seq, length(line) + 1 AS size, CAST(sum(length(line) + 1) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM lt),
   bl AS (SELECT session_id, e - size AS s, e, unnest(range((e - size) // {BLOCK}, (e - 1) // {BLOCK} + 1)) AS block FROM ly)"""
-_CODEC = _q(f"SELECT session_id, CAST((sum(length(line) + 1) + {BLOCK - 1}) // {BLOCK} AS BIGINT) AS block_count, {_sum('length(line) + 1')} AS input_bytes, count(*) AS line_count, true AS roundtrip_ok FROM lt GROUP BY session_id", TRADES, _LT)
+_CODEC = _q(" UNION ALL ".join(f"SELECT session_id || '/{x}' AS session_id, CAST((sum(length(line) + 1) + {BLOCK - 1}) // {BLOCK} AS BIGINT) AS block_count, {_sum('length(line) + 1')} AS input_bytes, count(*) AS line_count, true AS roundtrip_ok FROM {t} GROUP BY session_id" for x, t in (("trades", "lt"), ("bookticker", "lb"), ("depth", "ld"))), *_ALL)
 
 ORACLE = {
     "trades_canonical": _q("SELECT * FROM lt", TRADES, _LT),
@@ -293,7 +297,7 @@ ORACLE = {
     "jsonl_strict_validation": _STRICT,
     "blocks_layout": _q(f"SELECT session_id, block, min(greatest(s, block * {BLOCK})) AS first_byte_offset, {_sum(f'least(e, (block + 1) * {BLOCK}) - greatest(s, block * {BLOCK})')} AS uncompressed_bytes, {_sum(f'CASE WHEN (e - 1) // {BLOCK} = block THEN 1 ELSE 0 END')} AS line_count FROM bl GROUP BY session_id, block", TRADES, _LT, _LAY),
     "replay_batches": _q(f"SELECT session_id, seq // 4096 AS batch, count(*) AS record_count, min(seq) + 1 AS first_line_number, {_sum('length(line) + 1')} AS decoded_bytes FROM lt GROUP BY ALL", TRADES, _LT),
-    "replay_time_span": _q("SELECT 'trades' AS stream, session_id, max(ts_ns) - min(ts_ns) AS time_span_ns FROM trades GROUP BY session_id UNION ALL SELECT 'bookticker', session_id, max(ts_ns) - min(ts_ns) FROM book GROUP BY session_id", TRADES, BOOK),
+    "replay_time_span": _q("SELECT 'trades' AS stream, session_id, max(ts_ns) - min(ts_ns) AS time_span_ns FROM trades GROUP BY session_id UNION ALL SELECT 'bookticker', session_id, max(ts_ns) - min(ts_ns) FROM book GROUP BY session_id UNION ALL SELECT 'depth', session_id, max(ts_ns) - min(ts_ns) FROM levels GROUP BY session_id", TRADES, BOOK, LEVELS),
     "verify_records_exact": _q(_verified(), TRADES, _LT, _pairs("SELECT * FROM lt", "SELECT * FROM lt", _TF), _bytes("SELECT * FROM lt", "SELECT * FROM lt")),
     "verify_records_mutated": _q("SELECT session_id, line_no, field FROM cmp WHERE field IS NOT NULL", TRADES, _LT, _pairs("SELECT * FROM lt", f"SELECT session_id, seq, {_MUT} AS line FROM lt", _TF)),
     "verify_missing_extra": _q("SELECT session_id, field, count(*) AS n, min(line_no) AS first_line FROM cmp WHERE field IS NOT NULL GROUP BY ALL", BOOK, _LB, _pairs("SELECT * FROM lb", "SELECT * FROM lb WHERE seq % 97 <> 5 UNION ALL SELECT session_id, seq + 1000000, line FROM lb WHERE seq % 89 = 3", _BF)),
@@ -305,7 +309,6 @@ ORACLE = {
     **{f"codec_roundtrip_{n}": _CODEC for n in ("zstd", "gzip", "xz", "bz2", "zlib", "raw")},
 }
 
-_LD = "ld AS (SELECT session_id, batch AS seq, '[' || string_agg('[' || price_e8 || ',' || qty_e8 || ',' || side || ']', ',' ORDER BY pos) || ',' || min(ts_ns) || ']' AS line FROM levels GROUP BY session_id, batch)"
 _TEXTS = {"trades": (TRADES, _LT, "lt"), "bookticker": (BOOK, _LB, "lb"), "depth": (LEVELS, _LD, "ld")}
 for _stream, (_source, _text, _name) in _TEXTS.items():
     ORACLE[f"artifact_roundtrip_{_stream}"] = _q(f"SELECT session_id, seq, line FROM {_name}", _source, _text)
@@ -339,6 +342,9 @@ ORACLE["last_run_lines"] = _q(" UNION ALL ".join([f"SELECT 'tape_{n} ' || CAST({
 ORACLE["inspect_stats_view_trades"] = f"SELECT session_id, 'tick.trades_grouped_delta_qtydict_math_v3' AS pipeline_id, record_count, chunk_count, encoded_bytes, dp_zero_count FROM ({ORACLE['trades_stats']})"
 ORACLE["inspect_stats_view_bookticker"] = f"SELECT session_id, 'tick.bookticker_delta_mask_v2' AS pipeline_id, record_count, encoded_bytes, raw_runtime_bytes FROM ({ORACLE['bookticker_stats']})"
 ORACLE["inspect_stats_view_depth"] = f"SELECT session_id, 'tick.depth_ladder_offset_v3' AS pipeline_id, batch_count, level_count AS total_level_count, encoded_bytes, delete_count FROM ({ORACLE['depth_stats']})"
+for _n, _stream, _id in PIPELINE_RUNS:
+    _source, _text, _name = _TEXTS[_stream]
+    ORACLE[f"pipeline_run_{_n}_{_stream}"] = _q(f"SELECT session_id, '{_id}' AS pipeline_id, count(*) AS line_count, {_sum('length(line) + 1')} AS input_bytes, 'ok' AS status, true AS byte_exact, true AS record_exact, count(*) AS decoded_record_count, {_sum('length(line) + 1')} AS decoded_bytes, CAST(0 AS BIGINT) AS mismatch_bytes, true AS verified FROM {_name} GROUP BY session_id", _source, _text)
 ORACLE["inspect_trades"] = f"SELECT session_id, record_count, chunk_count, time_groups, price_groups, qty_escapes FROM ({ORACLE['trades_stats']})"
 ORACLE["inspect_bookticker"] = f"SELECT session_id, record_count, encoded_bytes, mask_nonzero, time_bytes, mask_bytes, bid_bytes FROM ({ORACLE['bookticker_stats']})"
 ORACLE["inspect_depth"] = f"SELECT session_id, batch_count, level_count, encoded_bytes, delete_count, run_mode_batches, price_bytes FROM ({ORACLE['depth_stats']})"

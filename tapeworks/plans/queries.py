@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.sequence import chunked
 from ..functions.kernels import PROFILES
-from ..operators import artifacts, blocks, bookticker, catalog, depth, lab, metrics, trades, verify
+from ..operators import artifacts, blocks, bookticker, catalog, depth, lab, metrics, pipelines, trades, verify
 from ..schema import STATUSES
 from ..sources import derive, files, jsonl
 from ..streaming import book as streamed
@@ -45,12 +45,15 @@ def _dirty(s: SparkSession) -> DataFrame:
 
 
 def jsonl_strict_validation(s: SparkSession, d: str) -> DataFrame:
-    rows = _dirty(s)
+    """The dirty lines, and all canonical lines of the three streams."""
+    rows = _dirty(s).select(F.lit("dirty").alias("origin"), "id", "stream", "line")
+    for stream in ("trades", "bookticker", "depth"):
+        rows = rows.unionByName(_lines(s, d, stream).select(F.col("session_id").alias("origin"), F.col("seq").alias("id"), F.lit(stream).alias("stream"), "line"))
     ok, loose = F.lit(False), F.lit(False)
     for stream in ("trades", "bookticker", "depth"):
         ok = F.when(F.col("stream") == stream, jsonl.strict_ok(F.col("line"), stream)).otherwise(ok)
         loose = F.when(F.col("stream") == stream, jsonl.strict_ok(F.col("line"), stream, loose_depth=True)).otherwise(loose)
-    return rows.select("id", "stream", "line", ok.alias("strict_ok"), loose.alias("zstd_ok"))
+    return rows.select("origin", "id", "stream", "line", ok.alias("strict_ok"), loose.alias("zstd_ok"))
 
 
 def trades_parse_roundtrip(s: SparkSession, d: str) -> DataFrame:
@@ -78,8 +81,8 @@ def replay_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 def replay_time_span(s: SparkSession, d: str) -> DataFrame:
-    each = [blocks.time_span(derive.stream(s, d, x)).select(F.lit(x).alias("stream"), "session_id", "time_span_ns") for x in ("trades", "bookticker")]
-    return each[0].unionByName(each[1])
+    each = [blocks.time_span(derive.stream(s, d, x)).select(F.lit(x).alias("stream"), "session_id", "time_span_ns") for x in ("trades", "bookticker", "depth")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def _mutated(lines: DataFrame) -> DataFrame:
@@ -158,8 +161,11 @@ def prometheus_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def _codec(name: str):
+    """Blocks of all three streams."""
+
     def query(s: SparkSession, d: str) -> DataFrame:
-        out = blocks.compress_blocks(_lines(s, d, "trades"), name, 3, BLOCK)
+        each = [_lines(s, d, x).withColumn("session_id", F.concat("session_id", F.lit(f"/{x}"))) for x in ("trades", "bookticker", "depth")]
+        out = blocks.compress_blocks(each[0].unionByName(each[1]).unionByName(each[2]), name, 3, BLOCK)
         return out.groupBy("session_id").agg(F.count("*").alias("block_count"), F.sum("uncompressed_bytes").alias("input_bytes"), F.sum("line_count").alias("line_count"), F.min("roundtrip_ok").alias("roundtrip_ok"))
 
     query.__name__ = f"codec_roundtrip_{name}"
@@ -253,6 +259,18 @@ def container_replay(s: SparkSession, d: str) -> DataFrame:
     return files.replayed(done, "trades").select("session_id", "batch", "record_count", "first_line_number", (F.col("last_ts") - F.col("first_ts")).alias("span_ns"))
 
 
+def _pipeline(stream: str, pipeline_id: str):
+    """A pipeline by id from canonical lines to files, and the files verified against the lines."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        root, canonical = _root(s), _lines(s, d, stream)
+        made = pipelines.compress(canonical, stream, pipeline_id, root, block_bytes=BLOCK).select("session_id", "pipeline_id", "line_count", "input_bytes")
+        checked = pipelines.decode_and_verify(canonical, stream, pipeline_id, root, block_bytes=BLOCK)
+        return made.join(checked.select("session_id", "status", "byte_exact", "record_exact", "decoded_record_count", "decoded_bytes", "mismatch_bytes", "verified"), "session_id")
+
+    return query
+
+
 def _artifact_files(stream: str):
     """Canonical lines after transform artifacts were written as files and read back by Spark's binary scan."""
 
@@ -311,6 +329,12 @@ def _stats_view(stream: str):
     return query
 
 
+PIPELINE_RUNS = (
+    ("zstd", "trades", "std.zstd_jsonl_blocks_v1"), ("gzip", "depth", "std.gzip_jsonl_blocks_v1"), ("raw", "bookticker", "std.raw_jsonl_blocks_v1"),
+    ("transform", "trades", "tick.trades_grouped_delta_qtydict_math_v3"), ("transform", "bookticker", "tick.bookticker_delta_mask_v2"), ("transform", "depth", "tick.depth_ladder_offset_v3"),
+)
+
+
 def _named(name: str, f) -> tuple:
     return name, f
 
@@ -351,6 +375,7 @@ QUERIES = dict([
     ("stream_book", stream_book), ("stream_delta", stream_delta),
     *[(f"container_roundtrip_{x}", _container(x, c)) for x, c in (("trades", "zstd"), ("bookticker", "xz"), ("depth", "raw"))],
     *[(f.__name__, f) for f in (container_files, container_block_index, container_replay, text_files, line_functions, last_run_lines)],
+    *[(f"pipeline_run_{n}_{x}", _pipeline(x, p)) for n, x, p in PIPELINE_RUNS],
     *[(f"artifact_files_{x}", _artifact_files(x)) for x in ("trades", "bookticker", "depth")],
     *[(f"lab_roundtrip_{n}", _lab(f"py.{n}_v1")) for n in ("gzip", "bz2", "lzma", "zlib", "zstandard")],
     *[(f"inspect_stats_view_{x}", _stats_view(x)) for x in ("trades", "bookticker", "depth")],

@@ -71,6 +71,13 @@ def strict_ok(line: Column, stream: str, loose_depth: bool = False) -> Column:
     return F.when(line.rlike(grammar), F.coalesce(in_range & sides, F.lit(False))).otherwise(F.lit(False))
 
 
+def replay_records(text: DataFrame, stream: str, line: str = "line") -> DataFrame:
+    """Typed columns as a replay gives them: blank lines are skipped, a line that is no record is corrupt data."""
+    some = text.where(F.length(F.trim(F.col(line))) > 0)
+    bad = F.raise_error(F.concat(F.lit("corrupt_data: "), F.col(line)))
+    return parse(some.withColumn(line, F.when(strict_ok(F.col(line), stream), F.col(line)).otherwise(bad)), stream, line)
+
+
 def parse(text: DataFrame, stream: str, line: str = "line") -> DataFrame:
     """Typed columns of each line; all null where the line is not valid. Other columns stay."""
     ok = strict_ok(F.col(line), stream)

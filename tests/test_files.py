@@ -7,10 +7,10 @@ import urllib.request
 import pytest
 
 from tapeworks.functions.timing import Clock, replay_multiplier
-from tapeworks.operators import artifacts, lab, metrics, verify
+from tapeworks.operators import artifacts, lab, metrics, pipelines, verify
 from tapeworks.schema import TapeError
 from tapeworks.sources import artifacts as A
-from tapeworks.sources import files, views
+from tapeworks.sources import files, jsonl, views
 
 # Small canonical inputs.
 TRADES = b"[1,2,1,100]\n[2,3,0,200]\n"
@@ -167,6 +167,48 @@ def test_verify_cases(spark, tmp_path):
     assert json.loads(open(written[0].path).read())["status"] == "ok" and written[0].path.endswith("trades.verify.json")
 
 
+def test_pipelines_by_id(spark, tmp_path):
+    made = pipelines.compress(lines(spark, TRADES), "trades", "std.zstd_jsonl_blocks_v1", str(tmp_path)).first()
+    assert made.path == f"{tmp_path}/zstd/sessions/s/trades.hfc" and (made.input_bytes, made.line_count, made.block_count) == (24, 2, 1)
+    report = json.loads(open(str(tmp_path / "zstd/sessions/s/trades.metrics.json")).read())
+    assert report["status"] == "ok" and report["ratio"] == 24 / made.output_bytes and report["encode_ns"] > 0
+    changed = lines(spark, TRADES.replace(b"200", b"201"))
+    assert pipelines.decode_and_verify(changed, "trades", "std.zstd_jsonl_blocks_v1", str(tmp_path)).first().first_mismatch_field == "ts_ns"
+    report = json.loads(open(str(tmp_path / "zstd/sessions/s/trades.verify.json")).read())
+    assert report["status"] == "verification_failed" and report["replay_multiplier"] > 0
+    for stream, name, status in (
+        ("trades", "std.brotli_jsonl_blocks_v1", "dependency_unavailable"), ("trades", "trade.delta_varint_v1", "not_implemented"), ("trades", "x", "unsupported_pipeline"),
+        ("other", "std.zstd_jsonl_blocks_v1", "unsupported_stream"), ("depth", "tick.bookticker_delta_mask_v2", "unsupported_stream"),
+    ):
+        with pytest.raises(TapeError) as e:
+            pipelines.compress(lines(spark, TRADES), stream, name, str(tmp_path))
+        assert e.value.status == status
+
+
+def test_replay_records(spark):
+    rows = jsonl.replay_records(lines(spark, b"[1,2,1,100]\n\n \n[2,3,0,200]\n"), "trades").collect()
+    assert [(r.price_e8, r.ts_ns) for r in rows] == [(1, 100), (2, 200)]
+    with pytest.raises(Exception, match="corrupt_data"):
+        jsonl.replay_records(lines(spark, b"[1,2,1]\n"), "trades").collect()
+
+
+def test_late_rows_fail(spark):
+    import pandas as pd
+
+    from tapeworks.streaming import book
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    frame = lambda times: pd.DataFrame({"session_id": "s", "batch": range(len(times)), "pos": 0, "ts_ns": times, "side": 0, "price_e8": 5, "qty_e8": 1})
+    assert len(next(book._book(("s",), [frame([1, 2, 2])], State()))) == 3
+    with pytest.raises(TapeError, match="corrupt_data"):
+        next(book._book(("s",), [frame([1, 3, 2])], State()))
+
+
 def test_metrics_server():
     server = metrics.MetricsServer(lambda: "a 1\n", port=0)
     assert server.start()
