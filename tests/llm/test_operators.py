@@ -275,6 +275,15 @@ def test_chat_parts(spark):
     assert back.t[1].text == hard + "<|image|>after<|audio|>" and back.loss == hard * 2
 
 
+def test_chat_empty_and_long(spark):
+    schema = "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,units:long>>, formatted string"
+    assert chat.digest(spark.createDataFrame([], schema)).collect() == []
+    text = "\\<s>[INST] " * 40_000
+    rows = [(1, 0, "user", [("text", "", None, None)], "clash"), (1, 1, "assistant", [("text", text, None, None)], "clash"), (1, 2, "assistant", [("text", "", None, None)], None)]
+    r = chat.digest(spark.createDataFrame(rows, schema)).first()
+    assert (r.n_turns, r.loss_chars) == (3, len(text))
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE", "Licensed under CC BY-NC 4.0."), (4, "z/q.py", "nothing"), (5, "z/r.py", "# x\nLicensed under the Apache License, Version 2.0."),
             (6, "a/y.py", None), (7, None, "x"), (8, "a/b/GPL.txt", "This work is licensed under the GNU General Public License, version 3.")]
