@@ -24,10 +24,6 @@ def bit_bytes(n: Column) -> Column:
     return F.floor((n + 7) / 8).cast("long")
 
 
-def capacity_bits(capacity: Column) -> Column:
-    return F.length(F.bin(capacity)).cast("long")
-
-
 def safe_scale(g: Column) -> Column:
     return F.when(g <= 0, F.lit(1)).otherwise(g).cast("long")
 

@@ -7,7 +7,6 @@ import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.sequence import chunked
 from ..schema import TapeError

@@ -140,25 +140,6 @@ def compress_blocks(text: DataFrame, name: str, level: int = 3, block_bytes: int
     return pieces(text, block_bytes).groupBy("session_id", "block").applyInArrow(run, schema)
 
 
-def decompress_blocks(blocks: DataFrame, name: str) -> DataFrame:
-    """session_id, block, raw of each block; a checksum that differs raises corrupt_data."""
-    spec = codec(name)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                if crc32c(row["payload"]) != row["compressed_crc"]:
-                    raise TapeError("corrupt_data", "payload checksum")
-                raw = spec.decompress(row["payload"])
-                if len(raw) != row["uncompressed_bytes"] or crc32c(raw) != row["uncompressed_crc"]:
-                    raise TapeError("corrupt_data", "block checksum")
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column("session_id"), b.column("block"), pa.array(out, pa.binary())], ["session_id", "block", "raw"])
-
-    return blocks.mapInArrow(run, "session_id string, block long, raw binary")
-
-
 def replay_batches(text: DataFrame, records: int = BATCH_RECORDS) -> DataFrame:
     """Batches of records: counts, first line number and decoded bytes."""
     rows = text.where(F.length(F.trim("line")) > 0).withColumn("batch", F.expr(f"seq div {records}"))

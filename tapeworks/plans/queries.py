@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.sequence import chunked
 from ..functions.kernels import PROFILES
 from ..operators import artifacts, blocks, bookticker, catalog, depth, lab, metrics, pipelines, trades, verify
 from ..schema import STATUSES

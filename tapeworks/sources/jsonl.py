@@ -48,11 +48,6 @@ def numbered(rows: DataFrame) -> DataFrame:
     return out.withColumn("line_no", (F.col("base") + F.col("_n")).cast("long")).drop("_n", "base", "block_start", "_at")
 
 
-def integers(line: Column) -> Column:
-    """All integers of a line in order; an element out of the 64-bit range is null."""
-    return F.transform(F.regexp_extract_all(line, F.lit(f"({_INT})"), F.lit(1)), lambda x: F.try_to_number(x, F.lit("S999999999999999999999")).cast("decimal(22,0)"))
-
-
 def _longs(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(f"({_INT})"), F.lit(1)), lambda x: x.try_cast("bigint"))
 

@@ -209,6 +209,15 @@ def test_late_rows_fail(spark):
         next(book._book(("s",), [frame([1, 3, 2])], State()))
 
 
+def test_names_from_paths(spark):
+    from tapeworks.functions import scalar as S
+
+    paths = ["/a/s1/trades.jsonl", "/a/s1/Trades.JSONL", "/a/s2/jsonl/depth.jsonl", "bookticker.jsonl", "/a/s1/trades.json"]
+    F = S.F
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(S.stream_of_path(F.col("p")), S.stream_of_path(F.col("p"), any_case=False), S.session_of_path(F.col("p"))).collect()
+    assert [tuple(r) for r in rows] == [("trades", "trades", "s1"), ("trades", "unknown", "s1"), ("depth", "depth", "s2"), ("bookticker", "bookticker", "manual_bookticker"), ("unknown", "unknown", "s1")]
+
+
 def test_metrics_server():
     server = metrics.MetricsServer(lambda: "a 1\n", port=0)
     assert server.start()
