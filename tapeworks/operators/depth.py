@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.sequence import gcd_by, with_previous
+from ..functions.sequence import gcd_by
 from ..schema import DEPTH_HOT
 
 SLICE = 4096
@@ -54,22 +54,33 @@ class Book:
 
 
 def sliced(levels: DataFrame, size: int = SLICE) -> DataFrame:
-    """The levels with their slice, and ahead of each slice (batch null) the levels that are live at its start."""
+    """The levels with their slice, and ahead of each slice (batch null) the levels that are live at its start and, with side
+    -1, the time of the batch before it."""
     rows = levels.select("session_id", F.expr(f"batch div {size}").alias("slice"), "batch", "pos", "ts_ns", "side", "price_e8", "qty_e8")
     last = rows.groupBy("session_id", "slice", "side", "price_e8").agg(F.max(F.struct("batch", "pos", "qty_e8")).alias("x"))
-    ends = rows.groupBy("session_id").agg(F.max("slice").alias("end"))
+    # One row for each slice.
+    marks = rows.groupBy("session_id", "slice").agg(F.max("ts_ns").alias("ts_ns"))
+    ends = marks.groupBy("session_id").agg(F.max("slice").alias("end"))
     until = F.coalesce(F.lead("slice").over(Window.partitionBy("session_id", "side", "price_e8").orderBy("slice")), F.col("end"))
     held = last.join(ends, "session_id").withColumn("until", until).where((F.col("x.qty_e8") != 0) & (F.col("until") > F.col("slice")))
     null = lambda c: F.lit(None).cast("long").alias(c)
     # One row for each slice a level lives through.
     start = held.select("session_id", F.explode(F.sequence(F.col("slice") + 1, "until")).alias("slice"), null("batch"), null("pos"), null("ts_ns"), "side", "price_e8", F.col("x.qty_e8").alias("qty_e8"))
-    return rows.unionByName(start)
+    zero = lambda c, v: F.lit(v).cast("long").alias(c)
+    before = marks.select("session_id", (F.col("slice") + 1).alias("slice"), null("batch"), null("pos"), "ts_ns", zero("side", -1), zero("price_e8", 0), zero("qty_e8", 0))
+    return rows.unionByName(start).unionByName(before)
+
+
+def _time_before(t: pa.Table) -> int | None:
+    """The time of the batch before the slice, None for a session's first."""
+    mark = t.filter(pa.compute.equal(t.column("side"), -1)).column("ts_ns").to_pylist()
+    return mark[0] if mark else None
 
 
 def _walked(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, list, list]:
     """The levels of a slice in order, first rows of its batches, batch number of each row, and the bests before each batch."""
     book = Book()
-    held = t.filter(pa.compute.is_null(t.column("batch")))
+    held = t.filter(pa.compute.and_(pa.compute.is_null(t.column("batch")), pa.compute.not_equal(t.column("side"), -1)))
     for side, price, qty in zip(*(held.column(c).to_pylist() for c in ("side", "price_e8", "qty_e8"))):
         book.apply(side, price, qty)
     t = t.filter(pa.compute.is_valid(t.column("batch"))).sort_by([("batch", "ascending"), ("pos", "ascending")])
@@ -85,20 +96,23 @@ def _walked(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray,
     return t, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(batch)))), batch, bids, asks
 
 
-def best_before(levels: DataFrame) -> DataFrame:
+def best_before(levels: DataFrame, size: int = SLICE) -> DataFrame:
     """Best bid and ask strictly before each batch; null where the side is empty."""
 
     def run(t: pa.Table) -> pa.Table:
         t, first, _, batch, bids, asks = _walked(t)
         return pa.table({"session_id": t.column("session_id").take(pa.array(first)), "batch": pa.array(batch[first], pa.int64()), "best_bid": pa.array(bids, pa.int64()), "best_ask": pa.array(asks, pa.int64())})
 
-    return sliced(levels).groupBy("session_id", "slice").applyInArrow(run, "session_id string, batch long, best_bid long, best_ask long")
+    return sliced(levels, size).groupBy("session_id", "slice").applyInArrow(run, "session_id string, batch long, best_bid long, best_ask long")
 
 
 def _modes(t: pa.Table) -> pa.Table:
     """Of each level the best price of its side before the batch, its distance, the gap to the level before, and the batch's run mode."""
+    ahead = _time_before(t)
     t, first, at, _, bids, asks = _walked(t)
     n = len(at)
+    times = t.column("ts_ns").to_numpy()[first]
+    before_ts = np.concatenate([[times[0] if ahead is None else ahead], times[:-1]]) if n else times
     side, price = (t.column(c).to_numpy() for c in ("side", "price_e8"))
     best = [asks[i] if s else bids[i] for i, s in zip(at.tolist(), side.tolist())]
     known = np.array([b is not None for b in best], bool)
@@ -115,27 +129,27 @@ def _modes(t: pa.Table) -> pa.Table:
     fits = in_order & known & (away >= before)
     run_mode = np.minimum.reduceat(fits.astype(np.int64), first) if n else np.empty(0, np.int64)
     keep = t.select(["session_id", "batch", "pos", "ts_ns", "side", "price_e8", "qty_e8"])
-    more = {"best_e8": pa.array(best, mask=~known), "away_e8": pa.array(away, mask=~known), "gap_e8": pa.array(away - before, mask=~known), "run_mode": pa.array(run_mode[at], pa.int64())}
+    more = {"best_e8": pa.array(best, mask=~known), "away_e8": pa.array(away, mask=~known), "gap_e8": pa.array(away - before, mask=~known), "run_mode": pa.array(run_mode[at], pa.int64()), "before_ts": pa.array(before_ts[at], pa.int64())}
     for c, v in more.items():
         keep = keep.append_column(c, v)
     return keep
 
 
-def with_mode(levels: DataFrame) -> DataFrame:
+def with_mode(levels: DataFrame, size: int = SLICE) -> DataFrame:
     """Levels in ticks with their distance (offset) from the best price of their side before the batch, null where the
     side is empty, and the batch's run mode: bids before asks, known bests, offsets from zero up and not falling by side."""
-    schema = "session_id string, batch long, pos long, ts_ns long, side long, price_e8 long, qty_e8 long, best_e8 long, away_e8 long, gap_e8 long, run_mode long"
-    rows = sliced(levels).groupBy("session_id", "slice").applyInArrow(_modes, schema).join(scales(levels), "session_id")
+    schema = "session_id string, batch long, pos long, ts_ns long, side long, price_e8 long, qty_e8 long, best_e8 long, away_e8 long, gap_e8 long, run_mode long, before_ts long"
+    rows = sliced(levels, size).groupBy("session_id", "slice").applyInArrow(_modes, schema).join(scales(levels), "session_id")
     tick = lambda c: F.expr(f"{c} div price_scale")
     return rows.select(
         "session_id", "batch", "pos", "ts_ns", "side", tick("price_e8").alias("price_tick"), tick("best_e8").alias("best_tick"), tick("away_e8").alias("offset"),
-        tick("gap_e8").alias("gap"), "run_mode", "qty_e8", "qty_scale", "time_scale",
+        tick("gap_e8").alias("gap"), "run_mode", "before_ts", "qty_e8", "qty_scale", "time_scale",
     )
 
 
 def offsets(levels: DataFrame) -> DataFrame:
     """Each level's distance in ticks from the best price of its side before the batch; null where the side is empty."""
-    return with_mode(levels).drop("gap", "run_mode")
+    return with_mode(levels).drop("gap", "run_mode", "before_ts")
 
 
 def run_modes(levels: DataFrame) -> DataFrame:
@@ -155,15 +169,15 @@ def hot_by_side(levels: DataFrame) -> DataFrame:
     return hist.withColumn("code", code).where(F.col("code") < DEPTH_HOT)
 
 
-def stats(levels: DataFrame) -> DataFrame:
+def stats(levels: DataFrame, size: int = SLICE) -> DataFrame:
     """Per session: counters, bytes of the streams and of the artifact. Levels are added up by batch, batches by session."""
     vl, zz = S.varint_length, S.zigzag
-    hot = hot_by_side(levels)
-    sizes = hot.groupBy("session_id", "side").agg(F.count("*").alias("table_size"))
-    coded = hot.join(sizes, ["session_id", "side"]).select("session_id", "side", "qty_e8", "code", "table_size")
-    # A map of at most DEPTH_HOT entries for each side of a session.
-    tables = coded.groupBy("session_id", "side").agg(F.map_from_entries(F.collect_list(F.struct("qty_e8", "code"))).alias("codes"), F.max("table_size").alias("table_size"))
-    rows = with_mode(levels).join(tables, ["session_id", "side"], "left").withColumn("code", F.try_element_at("codes", F.col("qty_e8")))
+    # One row a session: a map of at most 2 * DEPTH_HOT entries, and the size of each side's table.
+    entry = F.struct(F.struct("side", "qty_e8").alias("key"), F.col("code").alias("value"))
+    count = lambda side: F.sum((F.col("side") == side).cast("long"))
+    tables = hot_by_side(levels).groupBy("session_id").agg(F.map_from_entries(F.collect_list(entry)).alias("codes"), count(0).alias("bids"), count(1).alias("asks"))
+    rows = with_mode(levels, size).join(tables, "session_id", "left").withColumn("code", F.try_element_at("codes", F.struct("side", "qty_e8")))
+    rows = rows.withColumn("table_size", F.when(F.col("side") == 0, F.col("bids")).otherwise(F.col("asks"))).withColumn("hot", F.col("bids") + F.col("asks"))
     live, run = F.col("qty_e8") != 0, F.col("run_mode") == 1
     escape = live & F.col("code").isNull()
     price = F.when(run, vl(F.col("gap"))).when(F.col("offset").isNotNull(), vl(zz(F.col("offset")))).otherwise(vl(zz(F.col("price_tick"))))
@@ -173,18 +187,15 @@ def stats(levels: DataFrame) -> DataFrame:
         flag(F.col("offset").isNull()).alias("absolute_price_count"), flag(~run).alias("explicit_levels"), F.sum(price).alias("price_bytes"),
         F.sum(F.when(live, vl(F.coalesce("code", "table_size", F.lit(0)))).otherwise(0)).alias("qty_code_bytes"),
         F.sum(F.when(escape, vl(F.expr("qty_e8 div qty_scale"))).otherwise(0)).alias("qty_escape_bytes"),
-        F.min("run_mode").alias("run_mode"), flag(F.col("side") == 0).alias("bid_count"), F.sum("side").alias("ask_count"), F.min(F.expr("ts_ns div time_scale")).alias("t"),
+        F.min("run_mode").alias("run_mode"), flag(F.col("side") == 0).alias("bid_count"), F.sum("side").alias("ask_count"), F.min(F.expr("ts_ns div time_scale - before_ts div time_scale")).alias("dt"), F.max("hot").alias("hot"),
     )
-    per_batch = with_previous(per_batch.withColumnRenamed("batch", "seq"), ["t"])
-    dt = F.col("t") - F.coalesce("prev_t", F.col("t"))
     total = lambda c: F.sum(c).alias(c)
     out = per_batch.groupBy("session_id").agg(
         *[total(c) for c in ("level_count", "delete_count", "qty_escape_count", "offset_price_count", "absolute_price_count", "explicit_levels", "price_bytes", "qty_code_bytes", "qty_escape_bytes")],
         F.count("*").alias("batch_count"), F.sum("run_mode").alias("run_mode_batches"), F.sum(1 - F.col("run_mode")).alias("fallback_batches"),
-        F.sum(vl(dt) + vl(F.col("level_count")) + 1 + F.when(run, vl(F.col("bid_count")) + vl(F.col("ask_count"))).otherwise(0)).alias("batch_bytes"),
+        F.sum(vl(F.col("dt")) + vl(F.col("level_count")) + 1 + F.when(run, vl(F.col("bid_count")) + vl(F.col("ask_count"))).otherwise(0)).alias("batch_bytes"),
+        (F.coalesce(F.max("hot"), F.lit(0)) * 8).alias("hot_table_bytes"),
     )
-    table = hot.groupBy("session_id").agg((F.count("*") * 8).alias("hot_table_bytes"))
-    out = out.join(table, "session_id", "left").withColumn("hot_table_bytes", F.coalesce("hot_table_bytes", F.lit(0)))
     out = out.withColumn("side_bytes", S.bit_bytes(F.col("explicit_levels"))).withColumn("delete_bytes", S.bit_bytes(F.col("level_count")))
     out = out.withColumn("raw_runtime_bytes", 8 * F.col("batch_count") + 32 * F.col("level_count"))
     whole = F.lit(176) + F.col("hot_table_bytes") + F.col("batch_bytes") + F.col("side_bytes") + F.col("delete_bytes") + F.col("price_bytes") + F.col("qty_code_bytes") + F.col("qty_escape_bytes")

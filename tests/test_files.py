@@ -209,6 +209,17 @@ def test_late_rows_fail(spark):
         next(book._book(("s",), [frame([1, 3, 2])], State()))
 
 
+def test_depth_slices(spark, sf):
+    """Slices of any size give what one slice gives: the book and the time before each are right."""
+    from tapeworks.operators import depth
+    from tapeworks.sources import derive
+
+    levels = derive.depth_levels(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(depth.best_before(levels, 7)) == rows(depth.best_before(levels, 1 << 20))
+    assert rows(depth.stats(levels, 7)) == rows(depth.stats(levels, 1 << 20))
+
+
 def test_names_from_paths(spark):
     from tapeworks.functions import scalar as S
 
