@@ -469,6 +469,75 @@ def test_spans_brute(spark, sf):
     assert all("".join(spans.pieces(t)) == t for t in texts.values())
 
 
+def repeats_of(texts, words):
+    """For each document the first words of what repeats ``words`` consecutive words of an earlier place."""
+    seen, out = set(), {}
+    for d in sorted(texts):
+        said = (texts[d] or "").lower().split()
+        out[d] = [i for i in range(len(said) - words + 1) if (w := tuple(said[i : i + words])) in seen or seen.add(w)]
+    return out
+
+
+def test_spans_few_sentences(spark, sf):
+    """Passages of 51 words go whatever whole sentences they hold, and nothing that does not repeat."""
+    rng = np.random.default_rng(5)
+    w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    planted = {"none": w(51), "one": f"{w(9)}. {w(40)}. {w(9)}", "long": w(200), "two": f"{w(3)}. {w(30)}! {w(25)}? {w(4)}", "ends": f"{w(60)}.", "many": ". ".join(w(7) for _ in range(12))}
+    texts = {i: f"{w(30)} {p} {w(20)}" for i, p in enumerate(planted.values())}
+    texts |= {10 + i: f"{w(20)}. {w(8)} {p.upper()} {w(30)}" for i, p in enumerate(planted.values())}
+    texts |= {20 + i: f"{w(5)}\n{p.replace(' ', chr(10))} {w(5)}" for i, p in enumerate(planted.values())}
+    texts |= {30: f"{w(30)} {' '.join(planted['none'].split()[:30])} {w(30)}", 31: w(50), 32: f"{planted['long']} {planted['long']}", 33: " ".join(["same"] * 300), 34: None}
+    texts |= {1000 + d: t for d, t in docs_of(sf).items()}
+    for words in (51, 40):
+        out = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), words=words).collect()}
+        must, may, least = repeats_of(texts, words), repeats_of(texts, words - spans.WINDOW + 1), words - spans.WINDOW + 1
+        seen, ends = set(), spans.WINDOW - 1
+        for d in sorted(texts):
+            cut, n, inner, outer = sentences(texts[d] or ""), len((texts[d] or "").split()), set(), set()
+            edges = np.cumsum([0] + [len(s.split()) for s in cut])
+            for i in range(len(cut) - 2):
+                run = tuple(tuple(s.lower().split()) for s in cut[i : i + 3])
+                if run in seen:
+                    inner |= set(range(edges[i], edges[i + 3]))
+                seen.add(run)
+            outer |= inner | {j for i in may[d] for j in range(i, i + least)}
+            for i, again in enumerate(must[d]):
+                first = again if not i or must[d][i - 1] < again - 1 else first
+                inner |= set(range(first + ends, again + words - ends))
+            left = iter((texts[d] or "").split())
+            kept = (out[d].text or "").split()
+            assert n - len(outer) <= len(kept) <= n - len(inner) and all(x in left for x in kept), d
+            assert (out[d].n_removed > 0) >= bool(must[d]) and (out[d].n_removed > 0) <= bool(outer), d
+            assert out[d].n_sentences == len(cut) and (out[d].n_removed or out[d].text == texts[d]), d
+        assert all(out[i].n_removed == 0 for i in (*range(6), 30 if words == 51 else 31, 31))
+        assert all(out[i].n_removed > 0 for i in (*range(10, 16), *range(20, 26), 32, 33))
+    assert out[10].n_sentences == 2 and out[10].n_removed == 1
+
+
+def test_spans_blocks(monkeypatch):
+    """Long texts hashed in blocks give the stretches that they have as a whole, which a plain search finds."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"é{x}" for x in rng.integers(0, 50, n)) for n in (700, 51, 50, 0, 300)]
+    found = lambda: set(zip(*(x.tolist() for x in spans.stretch_hashes(texts, 51))))
+    whole = found()
+    monkeypatch.setattr(spans, "_BLOCK", 60)
+    assert found() == whole and {r for r, *_ in whole} == {0, 1, 4}
+    for row in (0, 1, 4):
+        at = sorted(a for r, a, *_ in whole if r == row)
+        assert at[0] < spans.WINDOW and all(b - a <= spans.WINDOW for a, b in zip(at, at[1:])) and at[-1] + 51 >= len(texts[row].split())
+    hashes = {(h, l): " ".join(texts[r].split()[a : a + 52 - spans.WINDOW]) for r, a, h, l in whole}
+    assert len(set(hashes.values())) == len(hashes) == len({h for h, _ in hashes}) == len({l for _, l in hashes})
+
+
+def test_spans_query(spark, tmp_path):
+    """The query takes passages of over 50 words with one whole sentence, and no shorter ones."""
+    p = " ".join(f"p{i}" for i in range(12)) + ". " + " ".join(f"q{i}" for i in range(39))
+    rows = [(1, f"x {p} y"), (2, f"a b {p} c d"), (3, "e " + " ".join(p.split()[:30]) + " f")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.n_removed for r in QUERIES["op10_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert out == {1: 0, 2: 2, 3: 0}
+
+
 def test_near_copies(spark, sf):
     """Every pair of five-word Jaccard similarity 0.8 or more is joined, and no other; cells split or not."""
     rng = np.random.default_rng(3)
