@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import ranked
+
 E8 = 100_000_000
 
 
@@ -25,10 +27,9 @@ _TIES = ["l_shipdate", "l_quantity", "l_linestatus", "l_orderkey", "l_linenumber
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, seq, price_e8, qty_e8, side, ts_ns."""
-    li = _table(spark, sf_dir, "lineitem").withColumn("session_id", F.year("l_shipdate").cast("string"))
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy(*_TIES)).cast("long") - 1
-    return li.select(
-        "session_id", seq.alias("seq"),
+    li = _table(spark, sf_dir, "lineitem").select(*_TIES).withColumn("session_id", F.year("l_shipdate").cast("string")).withColumn("_at", _micros("l_shipdate"))
+    return ranked(li, "_at", _TIES, "seq").select(
+        "session_id", "seq",
         (F.col("l_quantity").cast("long") * E8).alias("price_e8"),
         (_cents("l_extendedprice") * 1_000_000).alias("qty_e8"),
         (F.col("l_linestatus") == "O").cast("long").alias("side"),
@@ -38,11 +39,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bookticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, seq, bid_price_e8, bid_qty_e8, ask_price_e8, ask_qty_e8, ts_ns."""
-    ev = _table(spark, sf_dir, "events").withColumn("session_id", F.date_format("ts", "yyyy-MM-dd"))
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")).cast("long") - 1
+    ev = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value").withColumn("session_id", F.date_format("ts", "yyyy-MM-dd"))
     bid = _cents("value") * 1_000_000
-    return ev.select(
-        "session_id", seq.alias("seq"), bid.alias("bid_price_e8"),
+    return ranked(ev, "event_id", ["event_id"], "seq").select(
+        "session_id", "seq", bid.alias("bid_price_e8"),
         ((F.col("user_id") % 20 + 1) * E8).cast("long").alias("bid_qty_e8"),
         (bid + (F.col("event_id") % 3 + 1) * 1_000_000).cast("long").alias("ask_price_e8"),
         ((F.col("event_id") % 10 + 1) * E8).cast("long").alias("ask_qty_e8"),
@@ -51,13 +51,15 @@ def bookticker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def depth_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exploded depth: session_id, batch, pos, ts_ns, price_e8, qty_e8, side. A batch is an order in time order."""
+    """Exploded depth: session_id, batch, pos, ts_ns, price_e8, qty_e8, side. A batch is an order in time order; orders are
+    numbered ahead of the join with their lines, which are numbered where the join has put them."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("session_id"), (_micros("o_orderdate") * 1000 + F.col("o_orderkey")).alias("ts_ns"))
-    joined = orders.join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    batch = F.dense_rank().over(Window.partitionBy("session_id").orderBy("ts_ns", "o_orderkey")).cast("long") - 1
-    pos = F.row_number().over(Window.partitionBy("session_id", "ts_ns", "o_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")).cast("long") - 1
+    items = _table(spark, sf_dir, "lineitem")
+    held = orders.join(items.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    joined = ranked(held, "ts_ns", ["ts_ns", "o_orderkey"], "batch", dense=True).join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    pos = F.row_number().over(Window.partitionBy("o_orderkey", "session_id", "ts_ns").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")).cast("long") - 1
     return joined.select(
-        "session_id", batch.alias("batch"), pos.alias("pos"), "ts_ns",
+        "session_id", "batch", pos.alias("pos"), "ts_ns",
         (F.col("l_quantity").cast("long") * E8).alias("price_e8"),
         F.when(F.col("l_returnflag") == "A", F.lit(0)).otherwise((F.col("l_suppkey") + 1) * 1_000_000).cast("long").alias("qty_e8"),
         (F.col("l_linestatus") == "O").cast("long").alias("side"),
