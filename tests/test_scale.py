@@ -1,10 +1,16 @@
 """What only shows at size, on small inputs: plans that adaptive execution changes, and sessions walked in parts."""
 
 import os
+import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeworks.operators import blocks
+from tapeworks.functions import coder
+from tapeworks.functions import kernels as K
+from tapeworks.functions.sequence import ranked
+from tapeworks.operators import artifacts, blocks, depth
 from tapeworks.sources import artifacts as A
 from tapeworks.sources import files
 
@@ -36,3 +42,58 @@ def test_containers_are_whole_when_a_join_is_read_in_pieces(spark, tmp_path):
         with open(row["path"], "rb") as f:
             text = A.read_container(f.read())
         assert text == b"".join(b"[%d,2,1,%d]\n" % (i, i) for i in range(1000)) and os.path.getsize(row["path"]) == row["output_bytes"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 4096])
+def test_depth_slices_make_the_artifact_of_a_whole_session(spark, size):
+    rnd = random.Random(size)
+    sides = lambda n: sorted(rnd.randrange(2) for _ in range(n)) if rnd.random() < 0.5 else [rnd.randrange(2) for _ in range(n)]
+    level = lambda s: ((100 - rnd.randrange(9) if s == 0 else 99 + rnd.randrange(9)) * 50, rnd.choice([0, 0, *range(2, 200, 2)]), s)
+    made = {x: [([level(s) for s in sides(rnd.randrange(1, 5))], 1000 + 10 * (i // 3)) for i in range(n)] for x, n in (("a", 120), ("b", 1), ("c", 7))}
+    rows = [(x, i, j, t, s, p, q, 5) for x, batches in made.items() for i, (levels, t) in enumerate(batches) for j, (p, q, s) in enumerate(levels)]
+    frame = spark.createDataFrame(rows, "session_id string, batch long, pos long, ts_ns long, side long, price_e8 long, qty_e8 long, bytes long")
+    parts = [r.asDict() for r in depth.encoded_slices(frame, size).collect()]
+    for x, batches in made.items():
+        own = sorted((p for p in parts if p["session_id"] == x), key=lambda p: p["slice"])
+        assert len(own) == -(-len(batches) // size)
+        assert A.depth_artifact(own) == A.write_depth(batches, 5 * sum(len(b) for b, _ in batches))
+
+
+def test_depth_out_of_order_and_odd_text_fail(spark):
+    for lines, why in ((["[[1,1,0],5]", "[[1,1,0],4]"], "corrupt_data"), (["[[1,1,0], 5]"], "decode_error"), (["[5]"], "corrupt_data")):
+        text = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session_id string, seq long, line string")
+        with pytest.raises(Exception, match=why):
+            artifacts.encode(text, "depth").collect()
+
+
+@pytest.mark.parametrize("stream", ["trades", "bookticker", "depth"])
+def test_decoding_never_holds_a_session(stream):
+    n = 40_000
+    rows = {"trades": [(5 + i % 3, 1 + i % 9, i % 2, i) for i in range(n)], "bookticker": [(5 + i % 3, 1, 9, 1 + i % 9, i) for i in range(n)], "depth": [([(5 + i % 3, i % 4, i % 2)], i) for i in range(n)]}[stream]
+    text, data = A.to_text(rows, stream), A.WRITERS[stream](rows)
+    parts = list(A.text_flow(data))
+    assert "".join(x + "\n" for p in parts for x in p).encode() == text and max(map(len, parts)) <= 16_384 < n
+
+
+@pytest.mark.parametrize("number", range(len(K.PROFILES)))
+def test_coder_of_the_jvm(spark, number):
+    profile, rnd = list(K.PROFILES)[number], random.Random(number)
+    assert coder.register(spark, A.ENVELOPE)
+    texts = [b"", b"\0", b"\xff" * 20_000, bytes(int(rnd.gauss(128, 20)) & 255 for _ in range(20_000))]
+    rows = spark.createDataFrame([(x, A.envelope(x, "depth", profile, 1, 1)) for x in texts], "base binary, data binary").selectExpr("base", "data", f"tape_code(base, {number}) AS packed", "tape_open(data) AS back").collect()
+    for r in rows:
+        assert bytes(r.back) == bytes(r.base) and bytes(r.packed) == bytes(r.data)[128:] == K.arithmetic_encode(bytes(r.base), profile)
+    assert [r[0] for r in spark.createDataFrame([(texts[3],), (A.envelope(b"abc", "depth", profile, 1, 1)[:-1],)], "x binary").selectExpr("tape_open(x)").collect()] == [None, None]
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_ranks_without_a_window_over_a_session(spark, dense):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(-50, 900)]), rnd.randrange(3)) for _ in range(2000)]
+    frame = spark.createDataFrame(rows, "session_id string, k long, x long").withColumn("id", F.monotonically_increasing_id())
+    order = ["k", "x"] if dense else ["k", "x", "id"]
+    wanted = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy("session_id").orderBy(*order)) - 1
+    out = ranked(frame, "k", order, "seq", dense, records=50)
+    assert sorted(out.select("id", "seq").collect()) == sorted(frame.select("id", wanted.cast("long")).collect())
+    keys = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in x and "rank" in x.lower()]
+    assert all("_part" in x for x in keys)
