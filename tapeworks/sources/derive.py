@@ -74,8 +74,9 @@ def assemble(levels: DataFrame) -> DataFrame:
 
 
 def explode_levels(records: DataFrame) -> DataFrame:
-    """Exploded levels from depth records."""
-    out = records.select("session_id", F.col("seq").alias("batch"), "ts_ns", F.posexplode("levels").alias("pos", "level"))
+    """Exploded levels from depth records. Outer, since a filter on the size of ``levels`` would be put below what makes them and
+    parse each line again for every use in it."""
+    out = records.select("session_id", F.col("seq").alias("batch"), "ts_ns", F.posexplode_outer("levels").alias("pos", "level")).where("pos IS NOT NULL")
     return out.select("session_id", "batch", F.col("pos").cast("long").alias("pos"), "ts_ns", "level.price_e8", "level.qty_e8", "level.side")
 
 
